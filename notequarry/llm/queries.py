@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, secrets, simhash
+from . import packing, quality, secrets, simhash, suffixes, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.quality_rules,
     "op2_simhash_near_dedup": simhash.simhash_near_dedup,
     "op3_secret_scan": secrets.secret_scan,
+    "op4_suffix_dedup": suffixes.suffix_dedup,
+    "op5_token_ids": token_files.token_ids,
+    "op6_url_filter": urls.url_filter,
+    "op7_packing": packing.packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_url_filter": urls.ORACLE}
