@@ -243,12 +243,13 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, t, a, n): runs of n starts from a on whose strings start elsewhere, too; docs: doc_id, t, data."""
     found = stored(with_windows(docs), "windows")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Written, so that the joins below stand on plain exchanges, whose hot keys Spark can split.
+    often = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors-shared")
     found = stored(found.join(often, "h", "left_semi"), "windows-shared")
     kinds = stored(found.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("one")), "windows-kinds")
     equal = found.join(kinds.where("n > 1").select("h", "w"), ["h", "w"], "left_semi")
     equal = equal.select("doc_id", F.expr("at & 65535").alias("t"), F.expr("at >> 24").alias("a"), F.expr("(at >> 16) & 255").alias("n"))
-    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    several = stored(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "anchors-mixed")
     mixed = kinds.join(several, "h").select("h", F.ceil(F.col("many") / SPLIT).cast("long").alias("groups"), F.col("one.doc_id").alias("_id"), F.col("one.at").alias("at"), "n")
     data = F.substring(F.col("data"), (F.expr("at >> 24") + 1).cast("int"), (F.expr("(at >> 16) & 255") + (LENGTH - 1)).cast("int"))
     same = docs["doc_id"].eqNullSafe(mixed["_id"]) & (docs["t"] == F.expr("at & 65535"))
