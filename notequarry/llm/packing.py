@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table, text_or_empty
-from .tokens import encoder, vocabulary_path
+from .tokens import encoder, in_parts, vocabulary_path
 
 LENGTH = 2048
 UNIT = 8
@@ -157,14 +157,15 @@ def pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], dtype=np.uint32)
         for b in batches:
-            texts, out, rows = b.column(1).to_pylist(), [], []
-            for i in range(0, len(texts), 64):
-                for k, x in enumerate(encoder(vocabulary).encode(texts[i : i + 64]), i):
-                    ids = np.append(x, end).astype("<u4")
+            out, rows = [], []
+            for first, texts in in_parts(b.column(1)):
+                flat, cuts = encoder(vocabulary).encode(texts)
+                for k in range(len(texts)):
+                    ids = np.append(flat[cuts[k] : cuts[k + 1]], end).astype("<u4")
                     for at in range(0, len(ids), length):
                         piece = ids[at : at + length]
                         out.append((at, len(piece), zlib.crc32(piece.tobytes()), len(ids), -(-len(piece) // UNIT) if len(piece) < length else 0))
-                        rows.append(k)
+                        rows.append(first + k)
             columns = np.array(out, dtype=np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(columns[:, j]) for j in range(5))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin"])
 

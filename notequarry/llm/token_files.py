@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, small_or_shuffled, table, text_or_empty
-from .tokens import encoder, vocabulary_path
+from .tokens import encoder, in_parts, vocabulary_path
 
 CHUNK, BLOCK = 8, 512
 SHARD_IDS = 1 << 20
@@ -124,9 +124,10 @@ def written(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: i
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, (_, k) in zip((part, seq, size, pack(names, ids)), kinds)], names=[n for n, _ in kinds])
 
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), 64):
-                for name, x in zip(b.column(0)[i : i + 64].to_pylist(), encoder(vocabulary).encode(texts[i : i + 64])):
+            for first, texts in in_parts(b.column(1)):
+                flat, cuts = encoder(vocabulary).encode(texts)
+                for k, name in enumerate(b.column(0).slice(first, len(texts)).to_pylist()):
+                    x = flat[cuts[k] : cuts[k + 1]]
                     if ids and size + len(x) + 1 > SHARD_IDS:
                         yield shard()
                         seq, names, ids, size = seq + 1, [], [], 0

@@ -1,27 +1,34 @@
-"""Token ids of whole texts by the tokenizers library, with a cache of its results for single words.
+"""Token ids of whole texts by the tokenizers library, with a cache of its results for single pieces.
 
 A byte-level BPE file splits a text by one fixed pattern and encodes each piece by itself, so the library's ids for a
-piece hold wherever the piece occurs. Pieces not seen before are encoded in one batch. Texts with characters beyond
-Latin, where the versions of Unicode behind two pattern engines could differ, with special tokens' strings, or under a
-file of another kind go to the library as a whole.
+piece hold wherever the piece occurs. Where no blanks meet, no piece has one inside, so a text may be split before each blank. Arrow does this
+and numbers the distinct chunks of a batch, without a comma or full stop at their ends; only those not seen before are
+split by the pattern, and only their new pieces go to the library. Texts where blanks meet are split by the pattern as a
+whole. Texts with characters beyond Latin, where the versions of Unicode behind two pattern engines could differ, with
+special tokens' strings, or under a file of another kind go to the library as they are.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the pattern by which byte-level BPE files of this kind split a text.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-BEYOND = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]")
-CACHE = 300_000
+BEYOND = "[^\t\n\r\x20-\x7e¡-ɏ]"
+BLANKS = "[\t\n\r ][\t\n\r ]"
+ALNUM = np.array([chr(i).isalnum() for i in range(128)] + [False] * 128)
+#: Bytes of text encoded at a time.
+PART_BYTES = 1 << 24
+#: Pieces in a generation.
+CACHE = 1_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -31,40 +38,135 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
+    """Pieces' ids are kept as bytes in two generations: when the young one is full it becomes the old one, and what is
+    used again moves over, so that frequent pieces stay and memory is bounded by twice `cache` pieces."""
+
     def __init__(self, path: str, cache: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {}
+        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.chunks: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens") or ()]
         split = spec.get("pre_tokenizer") or {}
         self.by_piece = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
+        # Ids of tokens that begin with a blank; in this alphabet it is written as one letter.
+        self.blank = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
+        self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def plain(self, text: str) -> bool:
-        return self.by_piece and not BEYOND.search(text) and not any(s in text for s in self.special)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids as uint32, of each text."""
-        out: list[np.ndarray] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not self.plain(t)]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
-            out[i] = np.array(ids, dtype=np.uint32)
-        if len(self.known) > self.cache:
-            self.known = {}
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                pieces = PATTERN.findall(t)
-                if new := [p for p in dict.fromkeys(pieces) if p not in self.known]:
-                    self.known.update(zip(new, self.whole(new)))
-                out[i] = np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), dtype=np.uint32)
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, by its pieces."""
+        if len(self.young) > self.cache:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        lists = list(map(PATTERN.findall, texts))
+        if missing := {p for pieces in lists for p in pieces if p not in young}:
+            known = {p: x for p in missing if (x := old.get(p))}
+            young.update(known)
+            if len(missing) > len(known):
+                new = [p for p in missing if p not in known]
+                young.update((p, np.array(x, dtype=np.uint32).tobytes()) for p, x in zip(new, self.whole(new)))
+        return [young[p[0]] if len(p) == 1 else b"".join(map(young.__getitem__, p)) for p in lists]
+
+    def of_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk with what stands before it: a line's end for those that begin with its sign, else a blank."""
+        if len(self.chunks) > self.cache:
+            self.chunks = {}
+        found = list(map(self.chunks.get, chunks))
+        if new := [c for c, x in zip(chunks, found) if x is None]:
+            texts = [("\n" + t[1:] if t[:1] == "\1" else " " + t) for t in map(bytes.decode, new)]
+            words = [(c, t) for c, t in zip(new, texts) if t[1:].isalpha() and t[0] == " "]
+            # Words are pieces: the library splits a text of them before each blank.
+            ids = np.array(self.whole(["".join([t for _, t in words])])[0], dtype=np.uint32)
+            cuts = np.flatnonzero(self.blank[ids])
+            if len(cuts) == len(words):
+                data, bounds = ids.tobytes(), (4 * np.r_[cuts, len(ids)]).tolist()
+                self.chunks.update((c, data[a:b]) for (c, _), a, b in zip(words, bounds, bounds[1:]))
+                rest = [(c, t) for c, t in zip(new, texts) if c not in self.chunks]
+            else:
+                rest = list(zip(new, texts))
+            self.chunks.update(zip((c for c, _ in rest), self.of_texts([t for _, t in rest])))
+            found = list(map(self.chunks.__getitem__, chunks))
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts as uint32, places at which each text's begin, and the end); texts: strings without nulls."""
+        texts = texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, BEYOND) if self.by_piece else pa.array([True] * len(texts))
+        for special in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        tight = pc.and_(pc.invert(odd), pc.match_substring_regex(texts, BLANKS))
+        odd, tight = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (odd, tight))
+        single = [np.array(x, dtype=np.uint32).tobytes() for x in self.whole(texts.take(pa.array(odd)).to_pylist())]
+        single += self.of_texts(texts.take(pa.array(tight)).to_pylist())
+        whole = np.r_[odd, tight]
+        rest = np.setdiff1d(np.arange(len(texts)), whole)
+        # A line's end becomes a blank and a sign for it, so that what follows is a chunk by itself.
+        split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(rest)), "\n", " \1"), " ")
+        begin = split.offsets.to_numpy()
+        chunks = split.values.cast(pa.large_binary())
+        mark = self.marks(chunks)
+        stems = pc.if_else(pa.array(mark > 0), pc.binary_slice(chunks, 0, -1), chunks).dictionary_encode()
+        parts = self.of_chunks(stems.dictionary.to_pylist())
+        number = stems.indices.to_numpy().astype(np.int64)
+        first = [t.split(" ", 1)[0].split("\n", 1)[0] for t in texts.take(pa.array(rest)).to_pylist()]
+        number[begin[:-1]] = len(parts) + np.arange(len(rest))
+        mark[begin[:-1]] = 0
+        parts += self.of_texts(first)
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[rest] = np.diff(begin)
+        counts[whole] = 1
+        ends = np.cumsum(counts)
+        row, marked = (np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int64) for _ in range(2))
+        split_up = np.ones(len(row), dtype=bool)
+        split_up[ends[whole] - 1] = False
+        row[split_up], marked[split_up] = number, mark
+        row[ends[whole] - 1] = len(parts) + np.arange(len(whole))
+        parts += single
+        # Each row's ids from the joined ones, with one place more where a mark follows.
+        flat = np.frombuffer(b"".join([*parts, bytes(4)]), dtype=np.uint32)
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        at = np.cumsum(sizes) - sizes
+        place = np.r_[0, np.cumsum(sizes[row] + (marked > 0))]
+        ids = flat[np.repeat(at[row] - place[:-1], np.diff(place)) + np.arange(place[-1])]
+        ids[place[1:][marked > 0] - 1] = marked[marked > 0]
+        return ids, np.r_[0, place[ends]]
+
+    def marks(self, chunks: pa.Array) -> np.ndarray:
+        """The id of the comma or full stop at the end of each chunk, if it follows a letter or digit and so is a piece; else 0."""
+        ends = np.frombuffer(chunks.buffers()[1], dtype=np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+        data = np.frombuffer(chunks.buffers()[2] or b"", dtype=np.uint8)
+        out = np.zeros(len(chunks), dtype=np.int64)
+        at = np.flatnonzero(np.diff(ends) > 2)
+        last = data[ends[at + 1] - 1]
+        at, last = at[(last == 44) | (last == 46)], last[(last == 44) | (last == 46)]
+        before, lead = data[ends[at + 1] - 2], data[ends[at + 1] - 3]
+        word = (before < 128) & ALNUM[before] | (lead == 0xC3) & (before >= 128) & (before != 0x97) & (before != 0xB7)
+        for sign, text in ((44, ","), (46, ".")):
+            ids = np.frombuffer(self.of_texts([text])[0], dtype=np.uint32)
+            if len(ids) == 1 and ids[0] > 0:
+                out[at[word & (last == sign)]] = ids[0]
         return out
 
 
+def in_parts(texts: pa.Array, most_bytes: int = PART_BYTES):
+    """(first, array) of runs of texts of so many bytes, or of one text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(sizes[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + most_bytes, side="right")))
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One for a Python worker, over all its tasks."""
