@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from notequarry.llm import quality, simhash
+from notequarry.llm import decontaminate, packing, pii, quality, simhash
 from notequarry.llm.common import stored, table
 
 STAGES = [
     ("quality_rules", quality.rejecting),
     ("simhash_near_dedup", simhash.first_of_each),
+    ("benchmark_decontamination", decontaminate.without_leaks),
+    ("surrogates", pii.replacing),
+    ("packing", packing.packing_stage),
 ]
 
 #: Fingerprints, edit distances and token ids are beyond SQL; the tests hold run() against a brute-force version.

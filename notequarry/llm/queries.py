@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secrets, simhash, suffixes, token_files, urls
+from . import decontaminate, packing, pii, quality, secrets, simhash, suffixes, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.quality_rules,
@@ -16,5 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_ids": token_files.token_ids,
     "op6_url_filter": urls.url_filter,
     "op7_packing": packing.packing,
+    "op8_surrogates": pii.surrogates,
+    "op9_benchmark_decontamination": decontaminate.benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {"op6_url_filter": urls.ORACLE}
