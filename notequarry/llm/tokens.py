@@ -26,9 +26,9 @@ BEYOND = "[^\t\n\r\x20-\x7e¡-ɏ]"
 BLANKS = "[\t\n\r ][\t\n\r ]"
 ALNUM = np.array([chr(i).isalnum() for i in range(128)] + [False] * 128)
 #: Bytes of text encoded at a time.
-PART_BYTES = 1 << 24
+PART_BYTES = 12 << 20
 #: Pieces in a generation.
-CACHE = 1_000_000
+CACHE = 600_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -115,7 +115,7 @@ class Encoder:
         mark = self.marks(chunks)
         stems = pc.if_else(pa.array(mark > 0), pc.binary_slice(chunks, 0, -1), chunks).dictionary_encode()
         parts = self.of_chunks(stems.dictionary.to_pylist())
-        number = stems.indices.to_numpy().astype(np.int64)
+        number = stems.indices.to_numpy().astype(np.int32)
         first = [t.split(" ", 1)[0].split("\n", 1)[0] for t in texts.take(pa.array(rest)).to_pylist()]
         number[begin[:-1]] = len(parts) + np.arange(len(rest))
         mark[begin[:-1]] = 0
@@ -124,26 +124,33 @@ class Encoder:
         counts[rest] = np.diff(begin)
         counts[whole] = 1
         ends = np.cumsum(counts)
-        row, marked = (np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int64) for _ in range(2))
+        row, marked = (np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int32) for _ in range(2))
         split_up = np.ones(len(row), dtype=bool)
         split_up[ends[whole] - 1] = False
         row[split_up], marked[split_up] = number, mark
         row[ends[whole] - 1] = len(parts) + np.arange(len(whole))
         parts += single
-        # Each row's ids from the joined ones, with one place more where a mark follows.
+        # Each row's ids from the joined ones, with one place more where a mark follows: a running sum of steps, which
+        # are 1 but at the rows' first ids.
         flat = np.frombuffer(b"".join([*parts, bytes(4)]), dtype=np.uint32)
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        sizes = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts)) // 4
         at = np.cumsum(sizes) - sizes
-        place = np.r_[0, np.cumsum(sizes[row] + (marked > 0))]
-        ids = flat[np.repeat(at[row] - place[:-1], np.diff(place)) + np.arange(place[-1])]
+        count = sizes[row] + (marked > 0)
+        place = np.r_[0, np.cumsum(count)]
+        some = np.flatnonzero(count)
+        first_at, step = at[row[some]].astype(np.int32), np.ones(place[-1], dtype=np.int32)
+        step[place[some]] = np.diff(first_at, prepend=np.int32(0)) - np.r_[0, count[some][:-1] - 1].astype(np.int32)
+        np.cumsum(step, out=step)
+        ids = flat[step]
         ids[place[1:][marked > 0] - 1] = marked[marked > 0]
+        pa.default_memory_pool().release_unused()
         return ids, np.r_[0, place[ends]]
 
     def marks(self, chunks: pa.Array) -> np.ndarray:
         """The id of the comma or full stop at the end of each chunk, if it follows a letter or digit and so is a piece; else 0."""
         ends = np.frombuffer(chunks.buffers()[1], dtype=np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
         data = np.frombuffer(chunks.buffers()[2] or b"", dtype=np.uint8)
-        out = np.zeros(len(chunks), dtype=np.int64)
+        out = np.zeros(len(chunks), dtype=np.int32)
         at = np.flatnonzero(np.diff(ends) > 2)
         last = data[ends[at + 1] - 1]
         at, last = at[(last == 44) | (last == 46)], last[(last == 44) | (last == 46)]
