@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table, text_or_empty
 
-DEPTH = 6
+DEPTH = 5
 END = 0xFF
 FOLDS, HELD_FOLD = 7, 2
 #: The most frequent grams and words that are broadcast: at most so many (16 bytes, and a word's length, each).

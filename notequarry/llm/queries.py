@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, quality, secrets, simhash, suffixes, token_files, urls
+from . import decontaminate, lm, packing, pii, quality, secrets, simhash, suffixes, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.quality_rules,
@@ -18,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": packing.packing,
     "op8_surrogates": pii.surrogates,
     "op9_benchmark_decontamination": decontaminate.benchmark_decontamination,
+    "op10_lm_scores": lm.lm_scores,
 }
 ORACLES: dict[str, str] = {"op6_url_filter": urls.ORACLE}
