@@ -155,17 +155,17 @@ def pieces(docs: DataFrame, vocabulary: str, length: int, end_id: int) -> DataFr
     """doc_id, start, length, ids_crc32, doc_tokens of each document's pieces, and bin: 0 for full ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([end_id], dtype=np.uint32)
         for b in batches:
             out, rows = [], []
             for first, texts in in_parts(b.column(1)):
                 flat, cuts = encoder(vocabulary).encode(texts)
-                for k in range(len(texts)):
-                    ids = np.append(flat[cuts[k] : cuts[k + 1]], end).astype("<u4")
-                    for at in range(0, len(ids), length):
-                        piece = ids[at : at + length]
-                        out.append((at, len(piece), zlib.crc32(piece.tobytes()), len(ids), -(-len(piece) // UNIT) if len(piece) < length else 0))
-                        rows.append(first + k)
+                flat = np.insert(flat, cuts[1:], end_id).astype("<u4", copy=False)
+                cuts = (cuts + np.arange(len(cuts))).tolist()
+                for k, (a, e) in enumerate(zip(cuts, cuts[1:]), first):
+                    for at in range(a, e, length):
+                        piece = flat[at : min(at + length, e)]
+                        out.append((at - a, len(piece), zlib.crc32(piece), e - a, -(-len(piece) // UNIT) if len(piece) < length else 0))
+                        rows.append(k)
             columns = np.array(out, dtype=np.int64).reshape(-1, 5)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(columns[:, j]) for j in range(5))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "bin"])
 

@@ -39,13 +39,13 @@ MAX_PARTS = 1_000_000
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
     lengths = np.fromiter((len(x) for x in ids), dtype=np.int64, count=len(ids))
-    values = np.concatenate(ids).astype(np.uint64) if ids else np.empty(0, np.uint64)
+    values = np.concatenate(ids) if ids else np.empty(0, np.uint32)
     levels = []
     while True:
-        more = values >> np.uint64(CHUNK)
+        more = values >> np.uint32(CHUNK)
         goes_on = more > 0
         last = not goes_on.any()
-        level = struct.pack("<qq", len(values), not last) + (values & np.uint64((1 << CHUNK) - 1)).astype(np.uint8).tobytes()
+        level = struct.pack("<qq", len(values), not last) + (values & np.uint32((1 << CHUNK) - 1)).astype(np.uint8).tobytes()
         if not last:
             bits = np.zeros(-(-len(values) // BLOCK) * BLOCK, dtype=np.uint8)
             bits[: len(values)] = goes_on
@@ -107,6 +107,21 @@ class Shard:
             places = ranks[block] + within + np.bitwise_count(bitmap[byte] & ((1 << (places & 7)) - 1).astype(np.uint8))
         return out.astype(np.uint32)
 
+    def all(self) -> np.ndarray:
+        """All ids in order: where every set bit is taken, ranks are consecutive numbers."""
+        out, left = np.zeros(self.n_ids, dtype=np.uint32), None
+        for k, (chunks, bitmap, _) in enumerate(self.levels):
+            part = chunks.astype(np.uint32) << np.uint32(CHUNK * k)
+            if left is None:
+                out |= part
+            else:
+                out[left] |= part
+            if not len(bitmap):
+                break
+            on = np.flatnonzero(np.unpackbits(bitmap, count=len(chunks), bitorder="little"))
+            left = on if left is None else left[on]
+        return out
+
     def document(self, i: int) -> np.ndarray:
         return self.at(np.arange(self.offsets[i], self.offsets[i + 1]))
 
@@ -117,7 +132,6 @@ def written(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, names, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
-        end = np.array([end_id], dtype=np.uint32)
 
         def shard() -> pa.RecordBatch:
             kinds = (("part", pa.int64()), ("seq", pa.int64()), ("n_ids", pa.int64()), ("shard", pa.binary()))
@@ -126,14 +140,16 @@ def written(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: i
         for b in batches:
             for first, texts in in_parts(b.column(1)):
                 flat, cuts = encoder(vocabulary).encode(texts)
+                flat = np.insert(flat, cuts[1:], end_id)
+                cuts = (cuts + np.arange(len(cuts))).tolist()
                 for k, name in enumerate(b.column(0).slice(first, len(texts)).to_pylist()):
                     x = flat[cuts[k] : cuts[k + 1]]
-                    if ids and size + len(x) + 1 > SHARD_IDS:
+                    if ids and size + len(x) > SHARD_IDS:
                         yield shard()
                         seq, names, ids, size = seq + 1, [], [], 0
                     names.append(name)
-                    ids.append(np.append(x, end))
-                    size += len(x) + 1
+                    ids.append(x)
+                    size += len(x)
         if ids:
             yield shard()
 
@@ -151,8 +167,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
             for part, seq, data in zip(*(b.column(i).to_pylist() for i in range(3))):
                 s = Shard(data)
                 n = len(s.doc_ids)
-                whole = s.at(np.arange(s.n_ids)).astype("<u4")
-                sums = [zlib.crc32(whole[s.offsets[i] : s.offsets[i + 1]].tobytes()) for i in range(n)]
+                whole, cuts = s.all().astype("<u4", copy=False), s.offsets.tolist()
+                sums = [zlib.crc32(whole[a:e]) for a, e in zip(cuts, cuts[1:])]
                 columns = [pa.array(s.doc_ids, pa.int64()), pa.array(s.offsets[:-1]), pa.array(np.diff(s.offsets)), pa.array(sums, pa.int64()), pa.array([part] * n, pa.int64()), pa.array([seq] * n, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "within", "n_tokens", "ids_crc32", "part", "seq"])
 
