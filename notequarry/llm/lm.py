@@ -35,9 +35,9 @@ END = 0xFF
 FOLDS, HELD_FOLD = 7, 2
 #: The most frequent grams and words that are broadcast: at most so many (16 bytes, and a word's length, each).
 HEAD_GRAMS, HEAD_WORDS = 1 << 21, 1 << 18
-HELD_ROWS = 4_000_000
-GROUP_ROWS = 1_000_000
-PART_BYTES = 1 << 22
+HELD_ROWS = 1_500_000
+GROUP_ROWS = 150_000
+PART_BYTES = 1 << 21
 LOG_HALF = float(np.log(0.5))
 NODES = 256
 
@@ -304,8 +304,8 @@ def scored(docs: DataFrame, head_grams: int = HEAD_GRAMS, head_words: int = HEAD
     some = some.select("g", "lp").toArrow()
     frequent, all_words = most_frequent(words, head_words)
     frequent = frequent.toArrow()
-    heads = spark.sparkContext.broadcast((Lookup(some["g"].to_numpy(), some["lp"].to_numpy()), dict(zip(frequent["word"].to_pylist(), frequent["c"].to_pylist()))))
-    log_all = float(np.log10(n + v + 1))
+    heads = spark.sparkContext.broadcast((Lookup(some["g"].to_numpy(), some["lp"].to_numpy()), dict(zip(frequent["word"].to_pylist(), np.log10(frequent["c"].to_numpy() + 1.0).tolist()))))
+    log_all, log_end = float(np.log10(n + v + 1)), float(np.log10(ends + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, counts = heads.value
@@ -320,14 +320,18 @@ def scored(docs: DataFrame, head_grams: int = HEAD_GRAMS, head_words: int = HEAD
                 n_tokens, n_known, base = [], [], []
                 for k, t in enumerate(texts):
                     w = t.lower().split()
-                    c = np.fromiter((counts.get(x, -1) for x in w), dtype=np.int64, count=len(w))
-                    missing = Counter(x for x, y in zip(w, c.tolist()) if y < 0) if len(w) and c.min() < 0 else {}
-                    if all_words:
-                        c, missing = np.maximum(c, 0), {}
-                    c = np.append(c[c >= 0], ends)
+                    c = list(map(counts.get, w))  # log10 of count + 1
+                    missing, n_missing = {}, 0
+                    if None in c:
+                        missing = Counter([x for x, y in zip(w, c) if y is None])
+                        c = [y for y in c if y is not None]
+                        n_missing = len(w) - len(c)
+                        if all_words:
+                            missing = {}
                     n_tokens.append(len(w) + 1)
-                    n_known.append(int((c > 0).sum()))
-                    base.append(float(np.log10(c + 1.0).sum()) - len(c) * log_all)
+                    n_known.append(len(c) + (ends > 0))
+                    of_all = len(w) + 1 if all_words else len(w) + 1 - n_missing
+                    base.append(sum(c) + log_end - of_all * log_all)
                     rare.append(list(missing))
                     rare_n.append(list(missing.values()) if missing else [])
                     if k in of:
