@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import table, text_or_empty, unused
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
@@ -258,5 +258,8 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold an item go; the rest stay as they are."""
     found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "text_hash").distinct()
-    rows = docs.withColumn("_t", F.xxhash64(text_or_empty()))
-    return rows.join(found, rows["doc_id"].eqNullSafe(found["doc_id"]) & (rows["_t"] == found["text_hash"]), "left_anti").select(*docs.columns)
+    found = found.select(F.col("doc_id").alias("_held"), "text_hash")
+    t = unused(docs, "_t")
+    rows = docs.withColumn(t, F.xxhash64(text_or_empty()))
+    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["_held"]) & (rows[t] == found["text_hash"]), "left_anti")
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

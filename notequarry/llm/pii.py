@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, unused
 
 KINDS = ("email", "ip", "card", "ssn", "phone", "name")
 MALE, FEMALE = ("Mr", "Herr", "Monsieur", "Señor", "г-н"), ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "г-жа")
@@ -186,25 +186,26 @@ def attempts(corpus: DataFrame, key: str) -> DataFrame:
 def replaced(docs: DataFrame, key: str = "surrogate", counts: bool = False) -> DataFrame:
     """docs with surrogates in text, and with counts n_<kind> if asked for."""
     columns = docs.columns
-    rows = docs.withColumn("_id", F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
-    found = rows.where(F.col("text").rlike(QUICK)).select("_id", entities(F.col("text")).alias("e")).where(F.exists("e", lambda e: e["kind"].isNotNull()))
-    found = stored(found.select("_id", F.explode("e").alias("e")).select("_id", "e.kind", "e.of").where("kind is not null"), "pii-entities")
+    own, found_in, late_in = (unused(docs, c) for c in ("_id", "_e", "_late"))
+    rows = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
+    found = rows.where(F.col("text").rlike(QUICK)).select(F.col(own).alias("id"), F.explode(entities(F.col("text"))).alias("e"))
+    found = stored(found.select("id", "e.kind", "e.of").where("kind is not null"), "pii-entities")
     late = attempts(stored(found.select("kind", "of").distinct(), "pii-corpus"), key)
     if late.limit(1).count():
-        named = found.distinct().join(late, ["kind", "of"]).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "of"), "attempt"))).alias("_late"))
-        rows = rows.join(named, "_id", "left")
+        named = found.distinct().join(late, ["kind", "of"]).groupBy(F.col("id").alias(own)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "of"), "attempt"))).alias(late_in))
+        rows = rows.join(named, own, "left")
     else:
-        rows = rows.withColumn("_late", F.lit(None).cast("map<string,int>"))
-    rows = rows.withColumn("_e", entities(F.col("text")))
+        rows = rows.withColumn(late_in, F.lit(None).cast("map<string,int>"))
+    rows = rows.withColumn(found_in, entities(F.col("text")))
 
     def new(e: Column) -> Column:
-        attempt = F.coalesce(F.element_at(F.col("_late"), F.concat_ws("|", e["kind"], e["of"])), F.lit(0))
+        attempt = F.coalesce(F.element_at(F.col(late_in), F.concat_ws("|", e["kind"], e["of"])), F.lit(0))
         return F.when(e["kind"].isNull(), e["m"]).otherwise(formatted(e["kind"], e["m"], surrogate(e["kind"], e["of"], attempt, key)))
 
     between = F.split(F.col("text"), PATTERN, -1)
-    put = F.zip_with(between, F.concat(F.transform("_e", new), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    rows = rows.withColumn("text", F.when(F.size("_e") > 0, F.array_join(put, "")).otherwise(F.col("text")))
-    tally = [F.size(F.filter("_e", lambda e: e["kind"] == F.lit(k))).cast("long").alias(f"n_{k}") for k in KINDS] if counts else []  # noqa: B023  called at once
+    put = F.zip_with(between, F.concat(F.transform(found_in, new), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    rows = rows.withColumn("text", F.when(F.size(found_in) > 0, F.array_join(put, "")).otherwise(F.col("text")))
+    tally = [F.size(F.filter(found_in, lambda e: e["kind"] == F.lit(k))).cast("long").alias(f"n_{k}") for k in KINDS] if counts else []  # noqa: B023  called at once
     return rows.select(*(F.col(f"`{c}`") for c in columns), *tally)
 
 

@@ -145,6 +145,14 @@ def thresholds(values: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> Dat
     return best.select("stratum", "rule", "b.*")
 
 
+def named(column: str, keep: list[str]) -> str:
+    """The name of a result's column beside those kept: another one where it would clash."""
+    taken = {c.lower() for c in keep}
+    while column in taken:
+        column = f"quality_{column}"
+    return column
+
+
 def judged(docs: DataFrame, labels: DataFrame, keep: list[str], stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
     """The columns of `keep`, the measures, base_failed, and kept: false if base_failed, or if a rule in use rejects."""
     inner = {"_id": F.col("doc_id"), "_stratum": F.coalesce(F.col(stratum).cast("string"), F.lit("\0"))}
@@ -161,9 +169,9 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], stratum: str = "
     for r, x in zip(RULES, rejects):
         rule = rule.when(x, r)
     rows = rows.join(small_or_shuffled(wide, BROADCAST_STRATA), rows["_stratum"] == wide["stratum"], "left")
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    rows = rows.withColumn("_rule", rule)
-    return rows.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), *(F.col(c).alias(f"quality_{c}" if c in keep else c) for c in names), F.col("_rule").isNull().alias("kept"), F.col("_rule").alias("rejected_by"))
+    out = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")}
+    out |= {"kept": F.col("_rule").isNull(), "rejected_by": F.col("_rule")}
+    return rows.withColumn("_rule", rule).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), *(x.alias(named(c, keep)) for c, x in out.items()))
 
 
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,4 +181,5 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rejecting(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go; the rest stay as they are."""
-    return judged(docs, table(spark, sf_dir, "labels"), docs.columns).where("kept").select(*docs.columns)
+    rows = judged(docs, table(spark, sf_dir, "labels"), docs.columns)
+    return rows.where(F.col(f"`{named('kept', docs.columns)}`")).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .common import stored, table, text_or_empty
+from .common import stored, table, text_or_empty, unused
 
 SHINGLE = 3
 THRESHOLD = 2
@@ -172,8 +172,11 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the row with the least doc_id stays (any one, if rows repeat)."""
-    _, of = groups(docs)
+    found, of = groups(docs)
     first = of.select(F.when(F.col("_c") < LAST, F.col("_c")).alias("_id"), "_w").distinct()
-    rows = docs.withColumn("_t", F.xxhash64(text_or_empty()))
-    rows = rows.join(first, rows["doc_id"].eqNullSafe(first["_id"]) & (rows["_t"] == first["_w"]), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    t = unused(docs, "_t")
+    rows = docs.withColumn(t, F.xxhash64(text_or_empty()))
+    rows = rows.join(first, rows["doc_id"].eqNullSafe(first["_id"]) & (rows[t] == first["_w"]), "left_semi")
+    if found.groupBy("_k0", "_k1").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id", t])
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -154,12 +154,22 @@ def sorted_suffixes(parts: list[bytes], starts: list[int]) -> tuple[bytes, list[
     return text, order, owner
 
 
-def repeated(parts: list[bytes], starts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """Of each part the starts, of its first `starts`, whose `length`-byte string starts elsewhere in the parts, too."""
+def repeated(parts: list[bytes], starts: list[int], length: int = LENGTH, own: list[list[int] | None] | None = None) -> list[np.ndarray]:
+    """Of each part the starts, of its first `starts`, whose `length`-byte string starts elsewhere in the parts, too.
+
+    own: the only starts of each part that count, or None for all; a part may then stand in several groups.
+    """
     text, order, owner = sorted_suffixes(parts, starts)
     base = np.r_[0, np.cumsum([len(x) + 1 for x in parts])]
     sa = np.asarray(order)
     sa = sa[sa - base[owner[sa]] < np.asarray(starts)[owner[sa]]]
+    if own and any(x is not None for x in own):
+        counts = np.ones(int(base[-1]), dtype=bool)
+        for b, x, n in zip(base.tolist(), own, starts):
+            if x is not None:
+                counts[b : b + n] = False
+                counts[b + np.asarray(x)] = True
+        sa = sa[counts[sa]]
     places = sa.tolist()
     same = np.fromiter((text[a : a + length] == text[b : b + length] for a, b in zip(places, places[1:])), dtype=bool, count=max(0, len(places) - 1))
     hit = np.sort(sa[np.r_[same, False] | np.r_[False, same]] if len(sa) else sa)
@@ -193,11 +203,9 @@ def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         doc, ts, first, count = [], [], [], []
-        for (_, d, at, n, _, own), found in zip(held, repeated([x[4] for x in held], [x[2] >> 16 & 255 for x in held])):
+        for (_, d, at, n, _, _), found in zip(held, repeated([x[4] for x in held], [x[2] >> 16 & 255 for x in held], LENGTH, [x[5] for x in held])):
             if n > 1 or not len(found):
                 continue  # all of it is marked, as an equal window exists
-            if own is not None:
-                found = found[np.isin(found, own)]
             cuts = np.flatnonzero(np.diff(found) > 1) + 1
             for run in np.split(found, cuts):
                 if len(run):

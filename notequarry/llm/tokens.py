@@ -26,9 +26,9 @@ BEYOND = "[^\t\n\r\x20-\x7e¡-ɏ]"
 BLANKS = "[\t\n\r ][\t\n\r ]"
 ALNUM = np.array([chr(i).isalnum() for i in range(128)] + [False] * 128)
 #: Bytes of text encoded at a time.
-PART_BYTES = 12 << 20
+PART_BYTES = 10 << 20
 #: Pieces in a generation.
-CACHE = 600_000
+CACHE = 450_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
