@@ -183,3 +183,35 @@ def rejecting(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go; the rest stay as they are."""
     rows = judged(docs, table(spark, sf_dir, "labels"), docs.columns)
     return rows.where(F.col(f"`{named('kept', docs.columns)}`")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def oracle(risk: Risk = Risk()) -> str:
+    """The query's result in SQL, thresholds included."""
+    grid = ", ".join(f"('{r}', {i}, {above}, {float(c)})" for r, (_, above, cuts) in RULES.items() for i, c in enumerate(cuts))
+    each = sum(len(cuts) for *_, cuts in RULES.values())
+    value = " ".join(f"when '{r}' then {m}" for r, (m, *_) in RULES.items())
+    rejects = {r: f"coalesce({m} {'>' if above else '<'} cut_{r}, false)" for r, (m, above, _) in RULES.items()}
+    first = " ".join(f"when {x} then '{r}'" for r, x in rejects.items())
+    cuts = ", ".join(f"max(cutoff) filter (where rule = '{r}') as cut_{r}" for r in RULES)
+    p = risk.risk / len(RULES)
+    return rf"""
+with d as (select row_number() over () as rid, doc_id, coalesce(lang, chr(1)) as stratum, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+g as (select rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as gram from (select rid, ws, unnest(range(1, len(ws) - 1)) as i from w where len(ws) > 2)),
+r as (select rid, count(distinct k) as n from (select rid, unnest([i, i + 1, i + 2]) as k from (select rid, i, count(*) over (partition by rid, gram) as c from g) where c > 1) group by rid),
+m as (select w.rid, doc_id, stratum, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, (length(t) - length(translate(t, '{SYMBOLS}', '')))::bigint as n_symbols,
+    length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', '', 'g')) as n_upper, length(t) - length(translate(t, '!?', '')) as n_marks, len(lines) as n_lines,
+    (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words from w left join r on w.rid = r.rid),
+v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, n_symbols::double / greatest(word_chars, 1) as symbol_ratio, n_dup_lines::double / greatest(n_lines, 1) as dup_line_ratio,
+    n_repeat_words::double / greatest(n_words, 1) as repeat_ratio, n_upper::double / greatest(word_chars, 1) as upper_ratio, n_marks::double / greatest(n_words, 1) as mark_ratio, word_chars::double / greatest(n_words, 1) as mean_word from m),
+q as (select doc_id, min(quality) as quality from labels where quality in (0, 1) and doc_id is not null group by doc_id),
+c as (select stratum, rule, strictness, cutoff, quality, case when above then (case rule {value} end) > cutoff else (case rule {value} end) < cutoff end as rejects
+  from v join q using (doc_id), (values {grid}) as x(rule, strictness, above, cutoff) where not base_failed),
+k as (select stratum, rule, strictness, cutoff, count(*) filter (where quality = 1) as n, count(*) filter (where quality = 1 and rejects) as k, count(*) filter (where quality = 0 and rejects) as caught from c group by all),
+p as (select *, (select count(distinct stratum) from k) as strata,
+    case when k >= n * {p!r}::double then 1.0 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}::double) + (n - i) * ln(1 - {p!r}::double)))) end as p_value from k where n > 0),
+b as (select stratum, rule, cutoff, row_number() over (partition by stratum, rule order by caught desc, strictness) as place from p where p_value <= {risk.delta!r}::double / (strata * {each}) and caught > 0),
+s as (select stratum, {cuts} from b where place = 1 group by stratum)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by is null as kept, rejected_by
+from (select *, case when base_failed then 'base' {first} end as rejected_by from v left join s using (stratum))
+"""

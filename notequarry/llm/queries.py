@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": decontaminate.benchmark_decontamination,
     "op10_lm_scores": lm.lm_scores,
 }
-ORACLES: dict[str, str] = {"op6_url_filter": urls.ORACLE}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle(), "op6_url_filter": urls.ORACLE}

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 from math import comb
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +53,14 @@ def test_thresholds_are_certified_and_keep_good_documents(spark, tmp_path):
     risk = quality.Risk(risk=0.14)
     out = {r["doc_id"]: r for r in quality.judged(docs, labels, ["doc_id"], risk=risk).collect()}
     assert all(out[i]["kept"] for i, _ in good) and not any(out[i]["kept"] for i, _ in bad) and out[1000]["rejected_by"] == "symbols"
+    at = saved(spark, tmp_path, documents=docs.unionByName(docs.where("doc_id < 5")), labels=labels)
+    with duckdb.connect() as db:
+        for name in ("documents", "labels"):
+            db.execute(f"create view {name} as select * from '{at}/{name}.parquet/*.parquet'")
+        cursor = db.execute(quality.oracle(risk))
+        columns, expected = [c[0] for c in cursor.description], sorted(map(repr, cursor.fetchall()))
+    again = quality.judged(spark.read.parquet(f"{at}/documents.parquet"), labels, ["doc_id"], risk=risk).collect()
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in again) == expected
     few = {r["doc_id"]: r for r in quality.judged(docs, labels.where("doc_id < 20 or doc_id >= 1000"), ["doc_id"], risk=risk).collect()}
     assert all(r["kept"] for r in few.values()), "too few good labels certify nothing"
     assert quality.judged(docs.limit(0), labels.limit(0), ["doc_id"]).count() == 0
