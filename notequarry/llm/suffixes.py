@@ -253,7 +253,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = stored(with_windows(docs), "windows")
     # Written, so that the joins below stand on plain exchanges, whose hot keys Spark can split.
     often = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors-shared")
-    found = stored(found.join(often, "h", "left_semi"), "windows-shared")
+    # Dealt evenly, so that the rows of a hot anchor don't stay in one file, of which a later join could split nothing.
+    found = stored(found.join(often, "h", "left_semi").hint("rebalance"), "windows-shared")
     kinds = stored(found.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("one")), "windows-kinds")
     equal = found.join(kinds.where("n > 1").select("h", "w"), ["h", "w"], "left_semi")
     equal = equal.select("doc_id", F.expr("at & 65535").alias("t"), F.expr("at >> 24").alias("a"), F.expr("(at >> 16) & 255").alias("n"))
