@@ -27,8 +27,8 @@ BLANKS = "[\t\n\r ][\t\n\r ]"
 ALNUM = np.array([chr(i).isalnum() for i in range(128)] + [False] * 128)
 #: Bytes of text encoded at a time.
 PART_BYTES = 10 << 20
-#: Pieces in a generation.
-CACHE = 450_000
+#: Chunks kept, in two generations, and pieces in a generation.
+CACHE = 500_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -49,6 +49,7 @@ class Encoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.chunks: dict[bytes, bytes] = {}
+        self.old_chunks: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens") or ()]
@@ -77,10 +78,14 @@ class Encoder:
 
     def of_chunks(self, chunks: list[bytes]) -> list[bytes]:
         """The ids of each chunk with what stands before it: a line's end for those that begin with its sign, else a blank."""
-        if len(self.chunks) > self.cache:
-            self.chunks = {}
+        if len(self.chunks) > self.cache // 2:
+            self.chunks, self.old_chunks = {}, self.chunks
         found = list(map(self.chunks.get, chunks))
-        if new := [c for c, x in zip(chunks, found) if x is None]:
+        missing = [c for c, x in zip(chunks, found) if x is None]
+        if missing:
+            before = list(map(self.old_chunks.get, missing))
+            self.chunks.update((c, x) for c, x in zip(missing, before) if x is not None)
+            new = [c for c, x in zip(missing, before) if x is None]
             texts = [("\n" + t[1:] if t[:1] == "\1" else " " + t) for t in map(bytes.decode, new)]
             words = [(c, t) for c, t in zip(new, texts) if t[1:].isalpha() and t[0] == " "]
             # Words are pieces: the library splits a text of them before each blank.
