@@ -35,7 +35,7 @@ SPLIT = 2000
 #: Starts of a text are taken in segments of so many.
 SEGMENT = 1 << 20
 #: Suffixes of small groups are sorted together up to so many bytes.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 LOW = U((1 << 21) - 1)
