@@ -7,9 +7,13 @@ that many word pairs of the benchmark can begin one; this filter loses nothing,
 
 From each such place a window of the item's size, and every item, is embedded by CGK random walks: a pointer copies its
 word and moves on or stays by a random bit of step and word. Texts within few edits get walks that mostly agree
-position by position. Repeated bit-sampling LSH takes some positions of a walk as a key; `WALKS * SAMPLES` keys of
-`BITS` positions give recall beyond 0.99 at the allowed edits. Windows and items with an equal key are verified by exact
-edit distance, so that no false match is returned.
+position by position. Repeated bit-sampling LSH takes some positions of a walk as a key. Windows and items with an equal
+key are verified by exact edit distance. Keys of the first two thirds of a walk are the same for equal words, so copies
+without edits always meet; with many insertions or deletions walks part, and the keys find few of the places.
+
+So keys alone decide only where they find a copy without edits. Of every other text and item the word pairs they share
+are counted for that item alone, which again loses nothing, and what has enough of them within a window is compared
+exactly at all places. All pairs within the allowed edits are returned, with the fewest edits, and no others.
 
 The benchmark is taken in blocks of `BLOCK_ITEMS`, each broadcast to one pass over all documents.
 
@@ -37,8 +41,8 @@ BLOCK_ITEMS = 20_000
 CLASS_GROWTH = 1.25
 WORD = re.compile(r"[^\W_]+")
 SEED = 20_240_229
-#: Texts searched, and windows embedded, at a time.
-TEXTS, WINDOWS = 512, 8192
+#: Texts searched, windows embedded, and word pairs looked up by item, at a time.
+TEXTS, WINDOWS, PAIRS = 512, 8192, 1024
 
 
 def words(text: str) -> list[str]:
@@ -98,6 +102,30 @@ def distances(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.nda
     return before[np.arange(len(windows)), at], at
 
 
+def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
+    """(least edit distance between the item and any run of the text's words, first word of the leftmost such run).
+
+    Columns of the table of distances are bits of differences (Myers), from the text's end to its beginning.
+    """
+    n = len(item)
+    full, top = (1 << n) - 1, 1 << n - 1
+    equal: dict[int, int] = {}
+    for i, x in enumerate(item[::-1].tolist()):
+        equal[x] = equal.get(x, 0) | 1 << i
+    up, down, score, best = full, 0, n, (n, len(text))
+    for s in range(len(text) - 1, -1, -1):
+        eq = equal.get(int(text[s]), 0)
+        xv = eq | down
+        xh = ((eq & up) + up ^ up) | eq
+        ph, mh = down | ~(xh | up) & full, up & xh
+        score += bool(ph & top) - bool(mh & top)
+        ph, mh = ph << 1 & full, mh << 1 & full
+        up, down = mh | ~(xv | ph) & full, ph & xv
+        if score <= best[0]:
+            best = (score, s)
+    return best
+
+
 class Benchmark:
     """A block of items, ready to be searched for."""
 
@@ -113,6 +141,13 @@ class Benchmark:
         self.base = len(self.vocabulary) + 1
         pairs = [x[:-1].astype(np.int64) * self.base + x[1:] for x in self.items]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        # Of each word pair the items that have it, and of each item how many shared pairs within how many words it needs.
+        of = np.concatenate([np.full(len(x), i) for i, x in enumerate(pairs)]) if pairs else np.empty(0, np.int64)
+        both = np.unique(np.stack([np.searchsorted(self.pairs, np.concatenate(pairs)), of]), axis=1) if pairs else np.empty((2, 0), np.int64)
+        self.owners, self.owned = both[1], np.searchsorted(both[0], np.arange(len(self.pairs) + 1))
+        allowed = [edits_allowed(len(x), similarity) for x in self.items]
+        self.need = np.array([max(1, len(x) - 1 - 2 * k) for x, k in zip(self.items, allowed)], dtype=np.int64)
+        self.reach = np.array([len(x) + k for x, k in zip(self.items, allowed)], dtype=np.int64)
         self.bitmap = np.zeros(1 << 20, dtype=bool)
         self.bitmap[self.slot(self.pairs)] = True
         sizes = sorted({len(x) for x in self.items})
@@ -137,6 +172,51 @@ class Benchmark:
     def slot(pairs: np.ndarray) -> np.ndarray:
         return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
 
+    def shared(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the benchmark's word pairs among a text's words, and the number of each pair."""
+        pairs = w[:-1].astype(np.int64) * self.base + w[1:]
+        at = np.flatnonzero((w[:-1] > 0) & (w[1:] > 0) & self.bitmap[self.slot(pairs)])
+        pair = np.minimum(np.searchsorted(self.pairs, pairs[at]), len(self.pairs) - 1)
+        real = self.pairs[pair] == pairs[at]
+        return at[real], pair[real]
+
+    def regions(self, w: np.ndarray) -> dict[int, list[list[int]]]:
+        """Of each item that a text can hold, the parts of its words in which all such places lie."""
+        at, pair = self.shared(w)
+        spans: set[tuple[int, int, int]] = set()
+        # A piece ends so far beyond the next one's beginning that every window lies in one.
+        for i in range(0, len(at), PAIRS):
+            places, own = at[i : i + PAIRS + int(self.reach.max())], pair[i : i + PAIRS + int(self.reach.max())]
+            first, count = self.owned[own], self.owned[own + 1] - self.owned[own]
+            item = self.owners[np.arange(int(count.sum())) + np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count)]
+            place = np.repeat(places, count)
+            order = np.argsort(item, kind="stable")
+            item, place = item[order], place[order]
+            other = np.arange(len(item)) + self.need[item] - 1
+            last = np.minimum(other, len(item) - 1)
+            ok = np.flatnonzero((other < len(item)) & (item[last] == item) & (place[last] - place <= self.reach[item] - 2))
+            begin, end = np.maximum(place[last[ok]] + 2 - self.reach[item[ok]], 0), place[ok] + self.reach[item[ok]]
+            spans.update(zip(item[ok].tolist(), begin.tolist(), end.tolist()))
+        found: dict[int, list[list[int]]] = {}
+        for k, a, e in sorted(spans):
+            parts = found.setdefault(k, [])
+            if parts and a <= parts[-1][1]:
+                parts[-1][1] = max(e, parts[-1][1])
+            else:
+                parts.append([a, e])
+        return found
+
+    def complete(self, t: int, w: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+        """Notes in best every item that the text holds, unless it is there without edits."""
+        for i, parts in self.regions(w).items():
+            if best.get((t, i), (1,))[0] == 0:
+                continue
+            item = self.items[i]
+            allowed = int(self.reach[i]) - len(item)
+            d, first = min((d, a + s) for a, e in parts for d, s in (nearest(item, w[a:e]),))
+            if d <= allowed:
+                best[t, i] = (d, first, int(distances(item, w[None, first : first + len(item) + allowed])[1][0]))
+
     def places(self, text: str) -> tuple[np.ndarray, list[np.ndarray]]:
         """The text's words by number, and of each class the places at which an item can begin."""
         known = self.vocabulary.get
@@ -144,9 +224,7 @@ class Benchmark:
         none = [np.empty(0, np.int64)] * len(self.classes)
         if len(w) < LEAST_WORDS - 1 or not self.items:
             return w, none
-        pairs = w[:-1].astype(np.int64) * self.base + w[1:]
-        at = np.flatnonzero((w[:-1] > 0) & (w[1:] > 0) & self.bitmap[self.slot(pairs)])
-        at = at[self.pairs[np.minimum(np.searchsorted(self.pairs, pairs[at]), len(self.pairs) - 1)] == pairs[at]]
+        at, _ = self.shared(w)
         if len(at) < min(need for *_, need in self.classes):
             return w, none
         shared = np.zeros(len(w) + 1, dtype=np.int64)
@@ -162,8 +240,11 @@ class Benchmark:
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(number of the text, number of the item, edits, first word, words) of every item that a text holds, at its best place."""
         held: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in self.classes]
+        left = []
         for t, text in enumerate(texts):
             w, places = self.places(text)
+            if any(len(x) for x in places):
+                left.append((t, w))
             for own, starts in zip(held, places):
                 if len(starts):
                     own.append((t, w, starts))
@@ -183,6 +264,8 @@ class Benchmark:
                         parts, of, size = [], [], 0
             if parts:
                 self.near(k, np.concatenate(parts), np.concatenate(of), best)
+        for t, w in left:
+            self.complete(t, w, best)
         return [(*key, *value) for key, value in sorted(best.items())]
 
     def near(self, k: int, windows: np.ndarray, of: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:

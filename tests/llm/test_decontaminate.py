@@ -64,6 +64,55 @@ def test_recall_against_exact_search():
     assert total > 150 and hit / total >= 0.99
 
 
+def most_edited(words, k, how, r):
+    """Exactly k edits of one sort, or of all."""
+    words = list(words)
+    if how == "block":
+        at = r.randrange(1, len(words) - k)
+        return words[:at] + words[at + k :]
+    places = sorted(r.sample(range(1, len(words)), k), reverse=True)
+    for e, j in enumerate(places):
+        kind = ("insert", "delete", "change")[e % 3] if how == "mixed" else how
+        words[j : j + (kind != "insert")] = [] if kind == "delete" else ["zz%d" % r.randrange(9)]
+    return words
+
+
+def test_every_leak_is_found_at_exactly_the_allowed_edits():
+    r = random.Random(11)
+    words = ["w%d" % i for i in range(5000)]
+    for n, times in ((5, 30), (10, 30), (50, 30), (100, 20), (200, 12), (400, 6)):
+        items = [(i, " ".join(r.choices(words, k=n + i % 2))) for i in range(4)]
+        benchmark = d.Benchmark(items)
+        for how in ("insert", "delete", "change", "block", "mixed"):
+            for _ in range(times):
+                i = r.randrange(4)
+                k = d.edits_allowed(len(benchmark.items[i]))
+                host = r.choices(words, k=60)
+                text = " ".join(host[:30] + most_edited(items[i][1].split(), k, how, r) + host[30:])
+                (found,) = benchmark.search([text])
+                assert found[1] == i and found[2] <= k, (n, how)
+
+
+def test_best_place_is_that_of_exhaustive_search():
+    r, few = random.Random(3), "a b c d e f".split()
+    for _ in range(150):
+        items = [(i, " ".join(r.choices(few, k=r.randint(5, 12)))) for i in range(6)]
+        text = r.choices([*few, "x"], k=40)
+        benchmark, expected = d.Benchmark(items), []
+        for i, (_, item) in enumerate(items):
+            k = d.edits_allowed(len(item.split()))
+            every = min((edit_distance(item.split(), text[a:e]), a, e - a) for a in range(40) for e in range(a, min(40, a + len(item.split()) + k) + 1))
+            expected += [(0, i, *every)] if every[0] <= k else []
+        assert benchmark.search([" ".join(text)]) == expected
+
+
+def test_texts_with_many_pairs_are_searched_in_pieces(monkeypatch):
+    text = "q " * 40 + ITEMS[9][1] + " q" * 150 + " " + ITEMS[9][1].replace(" ", " q ", 3)
+    whole = d.Benchmark(ITEMS).regions(d.Benchmark(ITEMS).places(text)[0])
+    monkeypatch.setattr(d, "PAIRS", 2)
+    assert d.Benchmark(ITEMS).regions(d.Benchmark(ITEMS).places(text)[0]) == whole and len(whole[9]) == 2
+
+
 def test_query_and_stage(spark, tmp_path):
     r = random.Random(2)
     leak = " ".join(edited(ITEMS[9][1].split(), 3, r)).upper()
