@@ -34,8 +34,9 @@ PATTERN = "|".join((
     r"(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?!\d)",
     TITLE + r"\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 ))
-#: What a text with an entity has; cheaper to look for.
-QUICK = r"@|\d[\d .()\-]{6,}\d|(?:" + "|".join((*MALE, *FEMALE, "Dr")) + r")\.? \p{Lu}"
+#: What a text with an entity has; cheaper to look for. From first to last digit an entity has 7 characters (8.8.8.8) or
+#: more, and only telephone numbers with a plus sign have as few as 5 (+12233).
+QUICK = r"@|\d[\d .()\-]{5,}\d|\+\d[\d .()\-]{3,}\d|(?:" + "|".join((*MALE, *FEMALE, "Dr")) + r")\.? \p{Lu}"
 LETTERS, CYRILLIC = "bcdfghklmnprstvz", "бвгджзклмнпрстфх"
 VOWELS, CYRILLIC_VOWELS = "aeiouaeiouaeioua", "аеиоуаеиоуаеиоуа"
 HEX = "0123456789abcdef"

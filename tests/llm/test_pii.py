@@ -39,6 +39,17 @@ def test_surrogates_keep_kind_format_and_coreference(spark):
     assert replaced(spark, [(1, TEXT)], key="other")[0]["text"] != text
 
 
+def test_shortest_entity_of_each_branch_alone_in_a_text(spark):
+    alone = {
+        "a@b.co": "email", "8.8.8.8": "ip", "378282246310005": "card", "123-45-6789": "ssn", "(12)345678": "phone", "+1(12)345678": "phone",
+        "+12233": "phone", "+1234567": "phone", "+1 22 33": "phone", "+1.22-33": "phone", "123.456.7890": "phone", "Mr Li": "name", "г-н Ли": "name",
+    }
+    rows = [(k, f"see {m} now") for k, m in enumerate(alone)]
+    out = replaced(spark, rows, counts=True)
+    for k, (m, kind) in enumerate(alone.items()):
+        assert m not in out[k]["text"] and {c: out[k][f"n_{c}"] for c in pii.KINDS if out[k][f"n_{c}"]} == {kind: 1}, m
+
+
 def test_meeting_surrogates_are_told_apart(spark, monkeypatch):
     real = pii.surrogate
     from pyspark.sql import functions as F
