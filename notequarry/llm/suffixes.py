@@ -88,21 +88,21 @@ def windows(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
 
 
 def with_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, h, w): at packs 16 bits of the text's hash, 8 bits of the number of starts and 40 of the first."""
+    """(doc_id, t, at, h, w): t is the text's hash; at packs 8 bits of the number of starts and 40 of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ats, hs, ws = [], [], [], []
-            for i, (t, data) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            for i, data in enumerate(b.column(2).to_pylist()):
                 first, count, h, w = windows(data)
                 ids.append(np.full(len(first), i))
-                ats.append((first << 24) | (count << 16) | t)
+                ats.append((first << 8) | count)
                 hs.append(h)
                 ws.append(w)
             rows = pa.array(np.concatenate(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), *(pa.array(np.concatenate(x)) for x in (ats, hs, ws))], names=["doc_id", "at", "h", "w"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *(pa.array(np.concatenate(x)) for x in (ats, hs, ws))], names=["doc_id", "t", "at", "h", "w"])
 
-    return docs.where("octet_length(data) >= %d" % LENGTH).select("doc_id", "t", "data").mapInArrow(run, "doc_id bigint, at bigint, h bigint, w bigint")
+    return docs.where("octet_length(data) >= %d" % LENGTH).select("doc_id", "t", "data").mapInArrow(run, "doc_id bigint, t bigint, at bigint, h bigint, w bigint")
 
 
 def sorted_suffixes(parts: list[bytes], starts: list[int]) -> tuple[bytes, list[int], np.ndarray]:
@@ -180,9 +180,9 @@ def repeated(parts: list[bytes], starts: list[int], length: int = LENGTH, own: l
 def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of an anchor that has many go to groups by their starts' strings; the starts that don't belong go as gaps."""
     for b in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for h, groups, doc, at, n, data in zip(*(b.column(i).to_pylist() for i in range(6))):
-            starts = at >> 16 & 255
+        out: list[list] = [[] for _ in range(8)]
+        for h, groups, doc, t, at, n, data in zip(*(b.column(i).to_pylist() for i in range(7))):
+            starts = at & 255
             if groups == 1:
                 own = {0: None}
             else:
@@ -190,10 +190,10 @@ def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for s in range(starts):
                     own.setdefault(xxhash.xxh3_64_intdigest(data[s : s + LENGTH], 7) % groups, []).append(s)
             for g, which in own.items():
-                for x, v in zip(out, (h, g, doc, at, n, data, which)):
+                for x, v in zip(out, (h, g, doc, t, at, n, data, which)):
                     x.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["h", "g", "doc_id", "at", "n", "data", "own"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["h", "g", "doc_id", "t", "at", "n", "data", "own"])
 
 
 def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,24 +203,24 @@ def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         doc, ts, first, count = [], [], [], []
-        for (_, d, at, n, _, _), found in zip(held, repeated([x[4] for x in held], [x[2] >> 16 & 255 for x in held], LENGTH, [x[5] for x in held])):
+        for (_, d, t, at, n, _, _), found in zip(held, repeated([x[5] for x in held], [x[3] & 255 for x in held], LENGTH, [x[6] for x in held])):
             if n > 1 or not len(found):
                 continue  # all of it is marked, as an equal window exists
             cuts = np.flatnonzero(np.diff(found) > 1) + 1
             for run in np.split(found, cuts):
                 if len(run):
                     doc.append(d)
-                    ts.append(at & 0xFFFF)
-                    first.append((at >> 24) + int(run[0]))
+                    ts.append(t)
+                    first.append((at >> 8) + int(run[0]))
                     count.append(len(run))
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, ts, first, count)], names=["doc_id", "t", "a", "n"])
 
     for b in batches:
-        for h, g, doc, at, n, data, own in zip(*(b.column(i).to_pylist() for i in range(7))):
+        for h, g, doc, t, at, n, data, own in zip(*(b.column(i).to_pylist() for i in range(8))):
             if size > BATCH_BYTES and (h, g) != last:
                 yield flush()
                 held, size = [], 0
-            held.append(((h, g), doc, at, n, data, own))
+            held.append(((h, g), doc, t, at, n, data, own))
             size, last = size + len(data), (h, g)
     if held:
         yield flush()
@@ -255,21 +255,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     often = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors-shared")
     # Dealt evenly, so that the rows of a hot anchor don't stay in one file, of which a later join could split nothing.
     found = stored(found.join(often, "h", "left_semi").hint("rebalance"), "windows-shared")
-    kinds = stored(found.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("one")), "windows-kinds")
+    kinds = stored(found.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "at")).alias("one")), "windows-kinds")
     equal = found.join(kinds.where("n > 1").select("h", "w"), ["h", "w"], "left_semi")
-    equal = equal.select("doc_id", F.expr("at & 65535").alias("t"), F.expr("at >> 24").alias("a"), F.expr("(at >> 16) & 255").alias("n"))
+    equal = equal.select("doc_id", "t", F.expr("at >> 8").alias("a"), F.expr("at & 255").alias("n"))
     several = stored(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "anchors-mixed")
-    mixed = kinds.join(several, "h").select("h", F.ceil(F.col("many") / SPLIT).cast("long").alias("groups"), F.col("one.doc_id").alias("_id"), F.col("one.at").alias("at"), "n")
-    data = F.substring(F.col("data"), (F.expr("at >> 24") + 1).cast("int"), (F.expr("(at >> 16) & 255") + (LENGTH - 1)).cast("int"))
-    same = docs["doc_id"].eqNullSafe(mixed["_id"]) & (docs["t"] == F.expr("at & 65535"))
-    mixed = mixed.join(docs, same).select("h", "groups", F.col("_id").alias("doc_id"), "at", "n", data.alias("data"))
-    mixed = mixed.mapInArrow(dealt, "h bigint, g bigint, doc_id bigint, at bigint, n bigint, data binary, own array<int>")
+    mixed = kinds.join(several, "h").select("h", F.ceil(F.col("many") / SPLIT).cast("long").alias("groups"), F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t"), F.col("one.at").alias("at"), "n")
+    data = F.substring(F.col("data"), (F.expr("at >> 8") + 1).cast("int"), (F.expr("at & 255") + (LENGTH - 1)).cast("int"))
+    same = docs["doc_id"].eqNullSafe(mixed["_id"]) & (docs["t"] == mixed["_t"])
+    mixed = mixed.join(docs, same).select("h", "groups", F.col("_id").alias("doc_id"), "t", "at", "n", data.alias("data"))
+    mixed = mixed.mapInArrow(dealt, "h bigint, g bigint, doc_id bigint, t bigint, at bigint, n bigint, data binary, own array<int>")
     mixed = mixed.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(marked, "doc_id bigint, t bigint, a bigint, n bigint")
     return equal.unionByName(mixed)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.xxhash64(text_or_empty()).bitwiseAND(F.lit(65535))).alias("t"), text_or_empty().cast("binary").alias("data"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("t"), text_or_empty().cast("binary").alias("data"))
     runs = repeats(docs).groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     rows = docs.join(runs, docs["doc_id"].eqNullSafe(runs["_id"]) & (docs["t"] == runs["_t"]), "left")
     return rows.select("doc_id", "data", "runs").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import xxhash
+
 from notequarry.llm import suffixes
 
 from .helpers import documents, odd_rows, prose
@@ -63,6 +65,18 @@ def test_against_brute_force(spark, tmp_path):
         assert got(suffixes.suffix_dedup(spark, f"{tmp_path}/{k}")) == brute(rows)
 
 
+def test_texts_of_one_id_are_told_apart_where_16_bits_of_their_hashes_agree(spark):
+    shared, seen, rows = prose(52, 50)[:300], {}, []
+    for i in range(3000):
+        # Each text holds the passage at another place.
+        text = prose(5000 + i, 10)[: i % 37 + 5] + str(i) + shared + prose(9000 + i, 45)
+        other = seen.setdefault(xxhash.xxh64_intdigest(text.encode(), 42) & 65535, text)
+        if other != text:
+            rows += [(None if len(rows) // 2 % 2 else 7, x) for x in (text, other)]
+    rows = rows[:40]
+    assert len(rows) == 40 and got(suffixes.deduplicated(documents(spark, rows))) == brute(rows)
+
+
 def test_split_groups_and_segments_change_nothing(spark, monkeypatch):
     rows = shared_passages()
     monkeypatch.setattr(suffixes, "SPLIT", 3)
