@@ -417,6 +417,12 @@ def slugify(spark, sf_dir):
     return t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", texts.slugify(F.substring("text", 1, 80)).alias("slug"))
 
 
+@query(r"select doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(left(text, 80))), '[^a-z0-9\s-]', '', 'g'), '[-\s]+', '-', 'g'), '-') as slug from documents")
+def slugify_documents(spark, sf_dir):
+    """Slugs in all languages."""
+    return t(spark, sf_dir, "documents").select("doc_id", texts.slugify(F.substring("text", 1, 80)).alias("slug"))
+
+
 @query()
 def chunk_sections(spark, sf_dir):
     """Headings of pages as Markdown, cut into chunks."""

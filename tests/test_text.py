@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from notequarry import plugins
+from notequarry import catalog, plugins
 from notequarry.functions import jsons, texts, vectors
 from notequarry.operators import entities, filters, fts
 from notequarry.sources import markdown
@@ -39,6 +39,13 @@ def test_text_columns(spark):
     assert row["g"] == ["one", "two"] and (row["d"], row["r"], row["h"]) == ("a", "root", None) and row["s"] == "nandu-ee-x" and row["ref"] == "a/b.md## H" and row["e"] == "x"
 
 
+def test_slugs_of_documents_in_all_languages(spark, tmp_path):
+    rows = [(1, "en", "A plain Line", "a-plain-line"), (2, "fr", "Été à  Nîmes, où ça?", "ete-a-nimes-ou-ca"), (3, "de", "Größe - Übung", "groe-ubung"), (4, "es", "¿Qué Ñandú?", "que-nandu"), (None, None, "Ÿ", "y"), (5, "fr", None, None), (6, "fr", "é" * 90, "e" * 80)]
+    spark.createDataFrame([r[:3] for r in rows], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["slug"] for r in catalog.QUERIES["slugify_documents"](spark, str(tmp_path)).collect()}
+    assert found == {r[0]: r[3] for r in rows}
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0, 9.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>")
     row = df.select(vectors.dot(F.col("a"), F.col("b")), vectors.norm(F.col("a")), vectors.cosine(F.col("a"), F.col("z")), vectors.normalize(F.col("a")), vectors.normalize(F.col("z")), vectors.from_blob(vectors.to_blob("b"))).first()
