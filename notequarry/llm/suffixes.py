@@ -10,7 +10,8 @@ Windows that are equal as a whole, starts included, are repeated throughout. The
 compared by their suffixes: suffixes smaller than their successors are sorted directly, the others are induced by one
 scan over the buckets of the first byte, and neighbours with a common prefix of `LENGTH` bytes are repeated strings.
 An anchor with more than `SPLIT` distinct windows is dealt to as many groups as needed by a hash of each start's string:
-equal strings stay together, no window is dropped, and no group grows with the data.
+equal strings stay together and no window is dropped. Distinct windows that hold one shared string meet in one group, so
+the group of a string that stands in many different surroundings grows with their number.
 
 Defined cases: a null text is empty; a text shorter than `LENGTH` bytes keeps all; repeated rows are copies of each
 other, so all of a long enough one goes from each; null doc_ids each get their row.
