@@ -1,16 +1,19 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Measures per document feed one-sided rules (value above or below a cutoff rejects). For every stratum and rule each
-cutoff of a fixed grid is tested on the labelled documents: k of n good ones would be rejected, and the exact binomial
-tail P(Bin(n, risk) <= k) is the p-value of "this cutoff rejects more than `risk` of the good". Cutoffs whose p-value is
-at most delta / (strata * rules * cutoffs) (Bonferroni over all tests made) are certified; of those the one that
-rejects most bad documents is used, the laxest on ties, and none where no bad document is rejected. A stratum's rules
-share `risk` evenly, so that together they reject at most `risk` of its good documents, all strata at once, with
-probability 1 - delta.
+Measures per document feed one-sided rules (value above or below a cutoff rejects), each with cutoffs from lax to
+strict. A policy of strictness i rejects what any rule rejects at its cutoff i, so that policies are nested and a
+document is described by the least strictness that rejects it. For every stratum the policies are tested on the labelled
+documents from lax to strict: k of n good ones would be rejected, and the exact binomial tail P(Bin(n, risk) <= k) is
+the p-value of "this policy rejects more than `risk` of the good". Testing in a fixed order ends at the first policy that
+fails and needs no correction within a stratum (k, and with it the p-value, never falls). Over strata `delta` is shared
+in proportion to their numbers of good labels (weighted Bonferroni), so that no stratum loses more than `risk` of its
+good documents, all strata at once, with probability 1 - delta. Of the certified policies the one that rejects most bad
+documents is used, the laxest on ties, and none where no bad document is rejected.
 
 Defined cases: a null text has no words and fails the base rule; a null stratum is a stratum of its own; repeated rows
 each get their own result; repeated labels of a document count once (the lowest quality); labels that are neither 0 nor
-1 and documents without label don't count; without labels nothing is certified and the base rule alone decides.
+1 and documents without label don't count; without labels nothing is certified and the base rule alone decides. A very
+long text is measured whole, in one row. Result columns whose names clash with kept ones get a prefix (see named()).
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ RULES: dict[str, tuple[str, bool, tuple[float, ...]]] = {
     "long_words": ("mean_word", True, (20.0, 16.0, 14.0, 12.0, 10.0, 9.0, 8.0)),
     "short_words": ("mean_word", False, (1.5, 2.0, 2.5, 3.0, 3.5, 4.0)),
 }
+STEPS = max(len(grid) for *_, grid in RULES.values())
 #: Strata up to this number are broadcast with their cutoffs; more are joined by a shuffle.
 BROADCAST_STRATA = 10_000
 
@@ -127,22 +131,27 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(top) * whole)
 
 
+def strictness(rule: str) -> Column:
+    """The place of the first cutoff of a rule's grid that rejects; null if none does."""
+    m, above, grid = RULES[rule]
+    out = F.lit(None).cast("int")
+    for i, c in reversed(list(enumerate(grid))):
+        out = F.when(F.col(m) > c if above else F.col(m) < c, i).otherwise(out)
+    return out
+
+
 def thresholds(values: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """(stratum, rule, cutoff, n, k, caught, p_value) of the cutoffs in use; values: doc_id, stratum and ratios()."""
+    """(stratum, step, n, k, caught, p_value) of the policies in use; values: doc_id, stratum, base_failed, least (strictness that rejects)."""
     labels = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    tests = F.explode(F.array(*(
-        F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.lit(i).alias("strictness"), (F.col(m) > c if above else F.col(m) < c).alias("rejects"))
-        for rule, (m, above, grid) in RULES.items() for i, c in enumerate(grid)
-    )))
-    good, bad = F.col("quality") == 1, F.col("quality") == 0
-    counted = values.where("not base_failed").join(labels, "doc_id").select("stratum", "quality", tests.alias("t")).groupBy("stratum", "t.rule", "t.cutoff", "t.strictness").agg(
-        F.count_if(good).alias("n"), F.count_if(good & F.col("t.rejects")).alias("k"), F.count_if(bad & F.col("t.rejects")).alias("caught"))
-    each = sum(len(grid) for *_, grid in RULES.values())
-    strata = counted.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
-    tested = counted.where("n > 0").crossJoin(F.broadcast(strata)).withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), risk.risk / len(RULES)))  # strata: one row
-    chosen = tested.where((F.col("p_value") <= risk.delta / (F.col("strata") * each)) & (F.col("caught") > 0))
-    best = chosen.groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "n", "k", "caught", "p_value"), F.struct("caught", -F.col("strictness"))).alias("b"))
-    return best.select("stratum", "rule", "b.*")
+    good, rejects = F.col("quality") == 1, F.coalesce(F.col("least") <= F.col("step"), F.lit(False))
+    tests = values.where("not base_failed").join(labels, "doc_id").select("stratum", "quality", "least", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
+    counted = tests.groupBy("stratum", "step").agg(F.count_if(good).alias("n"), F.count_if(good & rejects).alias("k"), F.count_if(~good & rejects).alias("caught"))
+    counted = stored(counted, "policies")
+    labelled = counted.where("step = 0").agg(F.sum("n")).first()[0] or 1
+    tested = counted.where("n > 0").withColumn("p_value", binomial_tail(F.col("k"), F.col("n"), risk.risk))
+    chosen = tested.where((F.col("p_value") <= risk.delta * F.col("n") / labelled) & (F.col("caught") > 0))
+    best = chosen.groupBy("stratum").agg(F.max_by(F.struct("step", "n", "k", "caught", "p_value"), F.struct("caught", -F.col("step"))).alias("b"))
+    return best.select("stratum", "b.*")
 
 
 def named(column: str, keep: list[str]) -> str:
@@ -160,15 +169,14 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], stratum: str = "
     rows = measured(rows, [*inner, *(f"_k{i}" for i in range(len(keep)))])
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     rows = stored(rows, "quality")
-    values = rows.select(F.col("_id").alias("doc_id"), F.col("_stratum").alias("stratum"), "base_failed", *(c.alias(m) for m, c in ratios().items()))
-    cuts = stored(thresholds(values, labels.select("doc_id", "quality"), risk), "thresholds")
-    wide = cuts.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES))
-    of = ratios()
-    rejects = [F.coalesce(of[m] > F.col(f"_cut_{r}") if above else of[m] < F.col(f"_cut_{r}"), F.lit(False)) for r, (m, above, _) in RULES.items()]
+    measures = rows.select("*", *(c.alias(m) for m, c in ratios().items()))
+    each = {r: strictness(r) for r in RULES}
+    values = measures.select(F.col("_id").alias("doc_id"), F.col("_stratum").alias("stratum"), "base_failed", F.least(*each.values()).alias("least"))
+    cuts = stored(thresholds(values, labels.select("doc_id", "quality"), risk), "thresholds").select("stratum", F.col("step").alias("_step"))
     rule = F.when(F.col("base_failed"), "base")
-    for r, x in zip(RULES, rejects):
-        rule = rule.when(x, r)
-    rows = rows.join(small_or_shuffled(wide, BROADCAST_STRATA), rows["_stratum"] == wide["stratum"], "left")
+    for r, x in each.items():
+        rule = rule.when(x <= F.col("_step"), r)
+    rows = measures.join(small_or_shuffled(cuts, BROADCAST_STRATA), measures["_stratum"] == cuts["stratum"], "left")
     out = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")}
     out |= {"kept": F.col("_rule").isNull(), "rejected_by": F.col("_rule")}
     return rows.withColumn("_rule", rule).select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), *(x.alias(named(c, keep)) for c, x in out.items()))
@@ -187,13 +195,12 @@ def rejecting(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def oracle(risk: Risk = Risk()) -> str:
     """The query's result in SQL, thresholds included."""
-    grid = ", ".join(f"('{r}', {i}, {above}, {float(c)})" for r, (_, above, cuts) in RULES.items() for i, c in enumerate(cuts))
-    each = sum(len(cuts) for *_, cuts in RULES.values())
-    value = " ".join(f"when '{r}' then {m}" for r, (m, *_) in RULES.items())
-    rejects = {r: f"coalesce({m} {'>' if above else '<'} cut_{r}, false)" for r, (m, above, _) in RULES.items()}
-    first = " ".join(f"when {x} then '{r}'" for r, x in rejects.items())
-    cuts = ", ".join(f"max(cutoff) filter (where rule = '{r}') as cut_{r}" for r in RULES)
-    p = risk.risk / len(RULES)
+    def least(m: str, above: bool, grid: tuple[float, ...]) -> str:
+        return "case " + " ".join(f"when {m} {'>' if above else '<'} {c}::double then {i}" for i, c in enumerate(grid)) + " end"
+
+    each = ", ".join(f"{least(*x)} as least_{r}" for r, x in RULES.items())
+    first = " ".join(f"when least_{r} <= step then '{r}'" for r in RULES)
+    p = risk.risk
     return rf"""
 with d as (select row_number() over () as rid, doc_id, coalesce(lang, chr(1)) as stratum, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
@@ -205,13 +212,13 @@ m as (select w.rid, doc_id, stratum, len(ws)::bigint as n_words, length(array_to
 v as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, n_symbols::double / greatest(word_chars, 1) as symbol_ratio, n_dup_lines::double / greatest(n_lines, 1) as dup_line_ratio,
     n_repeat_words::double / greatest(n_words, 1) as repeat_ratio, n_upper::double / greatest(word_chars, 1) as upper_ratio, n_marks::double / greatest(n_words, 1) as mark_ratio, word_chars::double / greatest(n_words, 1) as mean_word from m),
 q as (select doc_id, min(quality) as quality from labels where quality in (0, 1) and doc_id is not null group by doc_id),
-c as (select stratum, rule, strictness, cutoff, quality, case when above then (case rule {value} end) > cutoff else (case rule {value} end) < cutoff end as rejects
-  from v join q using (doc_id), (values {grid}) as x(rule, strictness, above, cutoff) where not base_failed),
-k as (select stratum, rule, strictness, cutoff, count(*) filter (where quality = 1) as n, count(*) filter (where quality = 1 and rejects) as k, count(*) filter (where quality = 0 and rejects) as caught from c group by all),
-p as (select *, (select count(distinct stratum) from k) as strata,
+l as (select *, {each} from v),
+c as (select stratum, step, quality, coalesce(least({", ".join(f"least_{r}" for r in RULES)}) <= step, false) as rejects
+  from l join q using (doc_id), range({STEPS}) as x(step) where not base_failed),
+k as (select stratum, step, count(*) filter (where quality = 1) as n, count(*) filter (where quality = 1 and rejects) as k, count(*) filter (where quality = 0 and rejects) as caught from c group by all),
+p as (select *, (select sum(n) from k where step = 0) as labelled,
     case when k >= n * {p!r}::double then 1.0 else list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}::double) + (n - i) * ln(1 - {p!r}::double)))) end as p_value from k where n > 0),
-b as (select stratum, rule, cutoff, row_number() over (partition by stratum, rule order by caught desc, strictness) as place from p where p_value <= {risk.delta!r}::double / (strata * {each}) and caught > 0),
-s as (select stratum, {cuts} from b where place = 1 group by stratum)
+b as (select stratum, step, row_number() over (partition by stratum order by caught desc, step) as place from p where p_value <= {risk.delta!r}::double * n / labelled and caught > 0)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, rejected_by is null as kept, rejected_by
-from (select *, case when base_failed then 'base' {first} end as rejected_by from v left join s using (stratum))
+from (select l.*, case when base_failed then 'base' {first} end as rejected_by from l left join b on l.stratum = b.stratum and b.place = 1)
 """

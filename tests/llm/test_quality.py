@@ -50,7 +50,7 @@ def test_thresholds_are_certified_and_keep_good_documents(spark, tmp_path):
     bad = [(1000 + i, " | ".join(prose(i, 90).split())) for i in range(60)]
     docs = spark.createDataFrame([(i, t, "en") for i, t in good + bad], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in bad] + [(1, 1, 0), (2, None, 0), (None, 1, 0), (3, 7, 0)], "doc_id long, quality int, toxic int")
-    risk = quality.Risk(risk=0.14)
+    risk = quality.Risk()
     out = {r["doc_id"]: r for r in quality.judged(docs, labels, ["doc_id"], risk=risk).collect()}
     assert all(out[i]["kept"] for i, _ in good) and not any(out[i]["kept"] for i, _ in bad) and out[1000]["rejected_by"] == "symbols"
     at = saved(spark, tmp_path, documents=docs.unionByName(docs.where("doc_id < 5")), labels=labels)
@@ -66,6 +66,22 @@ def test_thresholds_are_certified_and_keep_good_documents(spark, tmp_path):
     assert quality.judged(docs.limit(0), labels.limit(0), ["doc_id"]).count() == 0
 
 
+def test_policies_by_brute_force_and_in_proportion_to_labels(spark):
+    """Two strata: the larger one's policy is certified, the smaller one's labels can't do it; a policy that rejects too many good is not used."""
+    good = [(i, prose(i, 60) + ("!" * 10 if i % 20 == 0 else ""), "en") for i in range(400)] + [(1000 + i, prose(i, 60), "fr") for i in range(40)]
+    bad = [(2000 + i, " & ".join(prose(i, 60).split()), ("en", "fr")[i % 2]) for i in range(40)] + [(3000 + i, prose(i, 60) + "!" * 7, "en") for i in range(9)]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in good] + [(i, 0) for i, *_ in bad], "doc_id long, quality int")
+    out = {r["doc_id"]: r["rejected_by"] for r in quality.judged(docs, labels, ["doc_id"]).collect()}
+    # Of the good, 20 of 400 have 10 marks for 60 words: the policy that rejects them at 0.15 would take 5 % of them.
+    def tail(k, n):
+        return sum(comb(n, i) * 0.02**i * 0.98 ** (n - i) for i in range(k + 1))
+
+    assert tail(0, 400) <= 0.05 * 400 / 440 < tail(20, 400) and tail(0, 40) > 0.05 * 40 / 440
+    assert all(out[i] is None for i, *_ in good) and all(out[3000 + i] is None for i in range(9))
+    assert {out[2000 + i] for i in range(0, 40, 2)} == {"symbols"} and {out[2000 + i] for i in range(1, 40, 2)} == {None}
+
+
 def test_stage_keeps_rows_as_they_are(spark, tmp_path):
     docs = documents(spark)
     at = saved(spark, tmp_path, labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
