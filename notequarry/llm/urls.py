@@ -4,10 +4,15 @@ A rule decides where it fits. For the rest, the listed canonical URLs are put in
 one block of eight 32-bit words, eight 5-bit parts of another hash one bit in each of them. The filter is a table of
 blocks; it is broadcast if its number of blocks, known from the count of the list, is within a bound, and joined by a
 shuffle on the block beyond that. Only URLs that the filter passes go to the exact join with the list, which removes the
-filter's false positives; all others never meet the list.
+filter's false positives; all others never meet the list. The pages are read once for that: what is judged of each (not
+its html) is written to the shared folder, and hits and the rest are taken from there.
+
+The list is an input: a Parquet table with a column `url` or `key`, named by the setting `spark.notequarry.urlList`.
+Without that setting the query makes a stand-in from its own pages, see default_list().
 
 Defined cases: a null URL or one without "://" has empty host and path, no rule, and is allowed; an empty list blocks
-nothing; repeated pages each get their row; null entries of the list don't count.
+nothing; repeated pages each get their row, whatever their ids; null entries of the list don't count, repeated ones count
+once; a very long URL is one key like any other; columns beside page_id and url are left out, so that no name clashes.
 """
 
 from __future__ import annotations
@@ -22,10 +27,12 @@ from .common import stored, table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, rule): host, then path from its first slash.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Labels of hosts whose pages make the list of the query.
+#: Labels of hosts whose pages are on the stand-in list.
 LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 #: Parameters that don't belong to a canonical URL.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=.*)?$"
+#: The table of listed URLs, by this setting.
+LIST_SETTING = "spark.notequarry.urlList"
 KEYS_PER_BLOCK = 16
 BROADCAST_BLOCKS = 250_000
 
@@ -77,30 +84,48 @@ def judged(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]]
     listed = stored(listed.select("key").where("key is not null").distinct(), "listed-urls")
     blocks = max(1, -(-listed.count() // KEYS_PER_BLOCK))
     table_of_blocks = bloom(listed, blocks)
-    if blocks <= BROADCAST_BLOCKS:
-        table_of_blocks = F.broadcast(table_of_blocks)
     rows = pages.select("page_id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, verdict = ruled(rules, F.col("host"), F.col("path"))
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), canonical(F.col("url")).alias("key"))
-    by_rule, rest = rows.where("rule is not null"), rows.where("rule is null")
     words, h = masks(F.col("key"))
-    rest = rest.withColumns({"block": block_of(F.col("key"), blocks), "_h": h}).join(table_of_blocks, "block", "left")
-    passes = F.col("key").isNotNull()
+    rows = rows.withColumns({"block": F.when(F.col("rule").isNull(), block_of(F.col("key"), blocks)), "_h": h})
+    if blocks <= BROADCAST_BLOCKS:
+        rows = rows.join(F.broadcast(table_of_blocks), "block", "left")
+    else:  # rows that no block can pass stay out of the shuffle, where they would all be one key
+        probed = rows.where("block is not null").join(table_of_blocks, "block", "left")
+        rows = probed.unionByName(rows.where("block is null"), allowMissingColumns=True)
+    passes = F.col("rule").isNull() & F.col("key").isNotNull()
     for i, w in enumerate(words):
         passes = passes & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(w) != 0)
-    rest = rest.select("page_id", "host", "path", "rule", "key", passes.alias("passes"))
-    hits = rest.where("passes").join(listed.withColumn("on_list", F.lit(True)), "key", "left")
+    rows = stored(rows.select("page_id", "host", "path", "rule", "verdict", F.when(passes, F.col("key")).alias("key")), "judged-urls")
+    hits = rows.where("key is not null").join(listed.withColumn("on_list", F.lit(True)), "key", "left")
     out = ["page_id", "host", "path", "rule", "verdict"]
     hits = hits.withColumn("verdict", F.when(F.col("on_list"), "block").otherwise("allow")).select(out)
-    return by_rule.select(out).unionByName(hits).unionByName(rest.where("not passes").withColumn("verdict", F.lit("allow")).select(out))
+    rest = rows.where("key is null").withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).select(out)
+    return rest.unionByName(hits)
 
 
-def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query op6: the verdict on every page; the list holds the canonical URLs of pages under listed labels."""
-    pages = table(spark, sf_dir, "pages")
+def default_list(pages: DataFrame) -> DataFrame:
+    """(key): a stand-in for a list of single URLs: the canonical URLs of pages under listed labels, and of one in sixteen of
+    all others, by the first digit of the URL's MD5, which neither host nor path gives away."""
     labels = F.split(host(F.col("url")), r"\.", -1)
-    listed = pages.where(F.arrays_overlap(labels, F.array(*map(F.lit, LISTED_LABELS)))).select(canonical(F.col("url")).alias("key"))
-    return judged(pages.select("page_id", "url"), listed)
+    rows = pages.select(F.arrays_overlap(labels, F.array(*map(F.lit, LISTED_LABELS))).alias("bad"), canonical(F.col("url")).alias("key"))
+    return rows.where(F.col("bad") | F.md5(F.col("key").cast("binary")).startswith("0")).select("key")
+
+
+def listed_urls(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """(key): the table of the setting, its URLs made canonical where it holds `url`; else the stand-in."""
+    at = spark.conf.get(LIST_SETTING, None)
+    if not at:
+        return default_list(pages)
+    rows = spark.read.parquet(at)
+    return rows.select("key") if "key" in rows.columns else rows.select(canonical(F.col("url")).alias("key"))
+
+
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query op6: the verdict on every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judged(pages, listed_urls(spark, pages))
 
 
 ORACLE = r"""
@@ -119,7 +144,7 @@ k as (
          when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule
   from p),
 c as (select *, case when base <> '' then base || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end end as key from k),
-l as (select distinct key from c where list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) and key is not null)
+l as (select distinct key from c where key is not null and (md5(key) like '0%' or list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])))
 select page_id, host, path, rule,
   case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
        when l.key is not null then 'block' else 'allow' end as verdict

@@ -34,3 +34,14 @@ def test_filter_passes_every_listed_key_and_the_join_removes_the_rest(spark, mon
         assert {r["page_id"] for r in out.where("verdict = 'block'").collect()} == set(range(400)) and out.count() == 2000
     none = urls.judged(pages, listed.limit(0), ())
     assert none.where("verdict = 'block'").count() == 0 and urls.judged(pages.limit(0), listed).count() == 0
+
+
+def test_list_is_an_input_table(spark, tmp_path):
+    at = saved(spark, tmp_path, pages=spark.createDataFrame([(1, "http://www.a.org/x/?utm_source=q"), (2, "http://a.org/y"), (3, "http://b.org/")], "page_id long, url string"))
+    spark.createDataFrame([("https://m.a.org/x#top",), (None,)], "url string").write.parquet(f"{tmp_path}/list")
+    spark.conf.set(urls.LIST_SETTING, f"{tmp_path}/list")
+    try:
+        found = {r["page_id"]: r["verdict"] for r in urls.url_filter(spark, at).collect()}
+    finally:
+        spark.conf.unset(urls.LIST_SETTING)
+    assert found == {1: "block", 2: "allow", 3: "allow"}
