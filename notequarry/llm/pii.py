@@ -5,16 +5,29 @@ and names after a title are found by one expression. Each gets a surrogate of it
 canonical form: the same entity gets the same surrogate everywhere, in the format in which it stands there (separators,
 letter case, script, a title's gender, a telephone's country code, a valid check digit).
 
+Names are resolved to persons. Within a document a surname after a title stands for the first full name with that surname
+whose gender doesn't contradict it, and shows that person's new surname. A title without gender (Dr) takes the gender of the
+document's other mentions of the person; where it has none, that of the same name elsewhere in the corpus (the first of f
+and m if both occur), and where that has none either, one by a hash of the name.
+
 Surrogates are checked over the whole corpus: one that is an entity of the corpus, or the surrogate of another entity,
-is derived again with the next attempt (of entities that meet, the first in order keeps its own), until all differ.
-Entities with later attempts are the only ones that reach the texts by a join; all others are computed in place.
+is derived again with the next attempt (of entities that meet, the first in order keeps its own), until all differ. Names
+are held apart by their surnames, as these may stand alone. Entities with later attempts, or with a gender that only the
+corpus knows, are the only ones that reach the texts by a join; all others are computed in place.
+
+The key comes from the setting `spark.notequarry.surrogate.secret` or the environment's NOTEQUARRY_SURROGATE_SECRET. If
+neither is set, a random one is drawn for the session: surrogates then hold within it, and nobody can derive them again.
 
 Defined cases: a null text stays null; texts without entities stay as they are; repeated rows get the same result;
-null doc_ids take part; an empty table gives an empty one.
+null doc_ids take part, and rows that share an id are told apart by their texts; an empty table gives an empty one; very
+long texts are searched whole, in one row; columns beside doc_id and text are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+import os
+import secrets as random_keys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +60,16 @@ NAMES = {
     (True, "f"): ("Алла", "Белла", "Вера", "Галина", "Дарья", "Ева", "Жанна", "Зоя", "Инна", "Кира", "Лидия", "Майя", "Нина", "Ольга", "Полина", "Раиса"),
 }
 MAX_ATTEMPTS = 40
+SECRET, SECRET_VARIABLE = "spark.notequarry.surrogate.secret", "NOTEQUARRY_SURROGATE_SECRET"
+
+
+def secret(spark: SparkSession) -> str:
+    """The key of the session; a drawn one is noted in its settings."""
+    found = spark.conf.get(SECRET, None) or os.environ.get(SECRET_VARIABLE)
+    if not found:
+        found = random_keys.token_hex(32)
+        spark.conf.set(SECRET, found)
+    return found
 
 
 def digits(m: Column) -> Column:
@@ -78,17 +101,48 @@ def bare_name(m: Column) -> Column:
 
 
 def gender(m: Column) -> Column:
+    """Of the title; null for one that says nothing."""
     title = F.regexp_extract(m, r"^([\p{L}\-]+)", 1)
-    even = F.pmod(F.xxhash64(F.lower(bare_name(m))), F.lit(2)) == 0
-    return F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f").otherwise(F.when(even, "m").otherwise("f"))
+    return F.when(title.isin(*MALE), "m").when(title.isin(*FEMALE), "f")
+
+
+def guessed(of: Column) -> Column:
+    """A person's canonical form with a gender by its name's hash where it has none (?:name)."""
+    even = F.pmod(F.xxhash64(F.substring(of, F.lit(3), F.length(of))), F.lit(2)) == 0
+    return F.when(of.startswith("?:"), F.concat(F.when(even, "m").otherwise("f"), F.substring(of, F.lit(2), F.length(of)))).otherwise(of)
+
+
+def first(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(1))
+
 
+def persons(found: Column) -> Column:
+    """Array of the canonical form of each name in found (kind, m), in order; of other kinds null. Forms: gender:name, gender m, f or ?."""
+    names = F.transform(found, lambda e: F.struct(F.when(e["kind"] == "name", F.lower(bare_name(e["m"]))).alias("name"), F.when(e["kind"] == "name", gender(e["m"])).alias("g")))
+    full = F.filter(names, lambda e: e["name"].contains(" "))
 
-def canonical(kind: Column, m: Column) -> Column:
+    def known(e: Column) -> Column:
+        """The gender of a full name: of its own mentions, else of its surname's."""
+        own = first(F.transform(F.filter(names, lambda x: (x["name"] == e["name"]) & x["g"].isNotNull()), lambda x: x["g"]))
+        last = F.substring_index(e["name"], " ", -1)
+        return F.coalesce(e["g"], own, first(F.transform(F.filter(names, lambda x: (x["name"] == last) & x["g"].isNotNull()), lambda x: x["g"])))
+
+    full = F.transform(full, lambda e: F.struct(e["name"].alias("name"), F.substring_index(e["name"], " ", -1).alias("last"), known(e).alias("g")))
+
+    def form(e: Column) -> Column:
+        of = first(F.filter(full, lambda p: (p["last"] == e["name"]) & (p["g"].isNull() | e["g"].isNull() | (p["g"] == e["g"]))))
+        g = F.when(e["name"].contains(" "), known(e)).otherwise(F.coalesce(e["g"], of["g"]))
+        return F.when(e["name"].isNotNull(), F.concat(F.coalesce(g, F.lit("?")), F.lit(":"), F.coalesce(of["name"], e["name"])))
+
+    return F.when(F.exists(names, lambda e: e["name"].isNotNull()), F.transform(names, form)).otherwise(F.transform(found, lambda e: F.lit(None).cast("string")))
+
+
+def canonical(kind: Column, m: Column, person: Column) -> Column:
     return (
         F.when(kind == "email", F.lower(m))
         .when(kind == "ip", m)
         .when(kind == "phone", F.concat(F.when(m.startswith("+"), "+").otherwise(""), digits(m)))
-        .when(kind == "name", F.concat(gender(m), F.lit(":"), F.lower(bare_name(m))))
+        .when(kind == "name", person)
         .otherwise(digits(m))
     )
 
@@ -132,7 +186,7 @@ def surrogate(kind: Column, of: Column, attempt: Column, key: str) -> Column:
 
     def name(other: bool) -> Column:
         first = F.when(of.startswith("m:"), F.element_at(F.array(*map(F.lit, NAMES[other, "m"])), (number(0) % 16 + 1).cast("int"))).otherwise(F.element_at(F.array(*map(F.lit, NAMES[other, "f"])), (number(0) % 16 + 1).cast("int")))
-        last = F.when(attempt == 0, word(20, 6, other)).otherwise(word(20, 10, other))
+        last = F.when(attempt == 0, word(20, 8, other)).otherwise(word(20, 12, other))
         return F.concat(F.substring(of, 1, 2), F.lower(F.when(of.contains(" "), F.concat(first, F.lit(" "), last)).otherwise(last)))
 
     return (
@@ -149,6 +203,7 @@ def formatted(kind: Column, m: Column, to: Column) -> Column:
     """A canonical surrogate in the format of the match."""
     title = F.substring(m, F.lit(1), F.length(m) - F.length(bare_name(m)))
     bare = F.substring(to, F.lit(3), F.length(to))
+    bare = F.when(bare_name(m).contains(" "), bare).otherwise(F.substring_index(bare, " ", -1))
     bare = F.when(bare_name(m) == F.upper(bare_name(m)), F.upper(bare)).otherwise(F.initcap(bare))
     return (
         F.when(kind == "email", F.when(m == F.upper(m), F.upper(to)).otherwise(to))
@@ -162,16 +217,22 @@ def entities(text: Column) -> Column:
     """Array of (kind, of, m) of all matches in order; kind and of are null for those that are no entities."""
     found = F.when(text.rlike(QUICK), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     found = F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m")))
-    return F.transform(found, lambda e: F.struct(e["kind"].alias("kind"), canonical(e["kind"], e["m"]).alias("of"), e["m"].alias("m")))
+    return F.zip_with(found, persons(found), lambda e, p: F.struct(e["kind"].alias("kind"), canonical(e["kind"], e["m"], p).alias("of"), e["m"].alias("m")))
+
+
+def apart(kind: Column, to: Column) -> Column:
+    """What must differ between surrogates: of names the surname."""
+    return F.when(kind == "name", F.regexp_replace(to, r"^..(?:.* )?", "")).otherwise(to)
 
 
 def attempts(corpus: DataFrame, key: str) -> DataFrame:
     """(kind, of, attempt) of the entities whose first surrogate met another; corpus: kind, of, distinct."""
     spark = corpus.sparkSession
-    done = taken = corpus.select("kind", F.col("of").alias("to"))
+    done = taken = corpus.select("kind", apart(F.col("kind"), F.col("of")).alias("to"))
     pending, late = corpus, None
     for k in range(MAX_ATTEMPTS):
-        tried = stored(pending.select("kind", "of", surrogate(F.col("kind"), F.col("of"), F.lit(k), key).alias("to")), "pii-tried")
+        new = surrogate(F.col("kind"), F.col("of"), F.lit(k), key)
+        tried = stored(pending.select("kind", "of", apart(F.col("kind"), new).alias("to")), "pii-tried")
         won = stored(tried.join(taken, ["kind", "to"], "left_anti").groupBy("kind", "to").agg(F.min("of").alias("of")), "pii-won")
         pending = stored(tried.join(won, ["kind", "of"], "left_anti").select("kind", "of"), "pii-pending")
         done = done.unionByName(won.select("kind", "to"))
@@ -184,24 +245,45 @@ def attempts(corpus: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"surrogates still meet after {MAX_ATTEMPTS} attempts")
 
 
-def replaced(docs: DataFrame, key: str = "surrogate", counts: bool = False) -> DataFrame:
-    """docs with surrogates in text, and with counts n_<kind> if asked for."""
+def special(found: DataFrame, key: str) -> DataFrame | None:
+    """(kind, of, e: to whom of belongs, attempt) of the entities that can't be computed in place; None if there are none."""
+    corpus = stored(found.select("kind", "of").distinct(), "pii-corpus")
+    bare, unknown = F.substring(F.col("of"), F.lit(3), F.length("of")), F.col("of").startswith("?:")
+    names = corpus.where("kind = 'name'")
+    if names.where(unknown).limit(1).count():
+        known = names.where(~unknown).groupBy(bare.alias("bare")).agg(F.min(F.substring("of", 1, 1)).alias("g"))
+        asked = names.where(unknown).select("kind", "of", bare.alias("bare")).join(known, "bare")
+        asked = asked.select("kind", "of", F.concat("g", F.lit(":"), "bare").alias("_person"))
+        corpus = stored(corpus.join(asked, ["kind", "of"], "left").select("kind", "of", F.coalesce("_person", guessed(F.col("of"))).alias("whose")), "pii-persons")
+    else:
+        corpus = corpus.withColumn("whose", F.col("of"))
+    late = attempts(corpus.select("kind", F.col("whose").alias("of")).distinct(), key)
+    late = late.select("kind", F.col("of").alias("whose"), "attempt")
+    rows = corpus.join(late, ["kind", "whose"], "left").where(F.col("attempt").isNotNull() | (F.col("whose") != guessed(F.col("of"))))
+    rows = stored(rows.select("kind", "of", F.struct("whose", F.coalesce("attempt", F.lit(0)).alias("attempt")).alias("e")), "pii-special")
+    return rows if rows.limit(1).count() else None
+
+
+def replaced(docs: DataFrame, key: str | None = None, counts: bool = False) -> DataFrame:
+    """docs with surrogates in text, and with counts n_<kind> if asked for; key: that of the session if None."""
+    key = key or secret(docs.sparkSession)
     columns = docs.columns
-    own, found_in, late_in = (unused(docs, c) for c in ("_id", "_e", "_late"))
-    rows = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("string"), F.col("text")))
+    own, found_in, special_in = (unused(docs, c) for c in ("_id", "_e", "_special"))
+    rows = docs.withColumn(own, F.struct(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.xxhash64(F.lit(own), F.col("text"))))
     found = rows.where(F.col("text").rlike(QUICK)).select(F.col(own).alias("id"), F.explode(entities(F.col("text"))).alias("e"))
     found = stored(found.select("id", "e.kind", "e.of").where("kind is not null"), "pii-entities")
-    late = attempts(stored(found.select("kind", "of").distinct(), "pii-corpus"), key)
-    if late.limit(1).count():
-        named = found.distinct().join(late, ["kind", "of"]).groupBy(F.col("id").alias(own)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "of"), "attempt"))).alias(late_in))
+    more = special(found, key)
+    if more is not None:
+        named = found.distinct().join(more, ["kind", "of"]).groupBy(F.col("id").alias(own)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "of"), "e"))).alias(special_in))
         rows = rows.join(named, own, "left")
     else:
-        rows = rows.withColumn(late_in, F.lit(None).cast("map<string,int>"))
+        rows = rows.withColumn(special_in, F.lit(None).cast("map<string,struct<whose:string,attempt:int>>"))
     rows = rows.withColumn(found_in, entities(F.col("text")))
 
     def new(e: Column) -> Column:
-        attempt = F.coalesce(F.element_at(F.col(late_in), F.concat_ws("|", e["kind"], e["of"])), F.lit(0))
-        return F.when(e["kind"].isNull(), e["m"]).otherwise(formatted(e["kind"], e["m"], surrogate(e["kind"], e["of"], attempt, key)))
+        known = F.element_at(F.col(special_in), F.concat_ws("|", e["kind"], e["of"]))
+        whose, attempt = F.coalesce(known["whose"], F.when(e["kind"] == "name", guessed(e["of"])).otherwise(e["of"])), F.coalesce(known["attempt"], F.lit(0))
+        return F.when(e["kind"].isNull(), e["m"]).otherwise(formatted(e["kind"], e["m"], surrogate(e["kind"], whose, attempt, key)))
 
     between = F.split(F.col("text"), PATTERN, -1)
     put = F.zip_with(between, F.concat(F.transform(found_in, new), F.array(F.lit(""))), lambda a, b: F.concat(a, b))

@@ -10,6 +10,7 @@ from notequarry.llm.common import table
 
 from .helpers import documents, odd_rows, prose, saved
 from .test_decontaminate import ITEMS, edit_distance
+from .test_pii import plainly as with_surrogates
 from .test_quality import brute as measures
 from .test_simhash import grouped
 from .test_tokens import checked
@@ -22,7 +23,10 @@ def library():
     return Tokenizer.from_file(tokens.vocabulary_path())
 
 
-def plainly(spark, rows):
+KEY = "of the pipeline's test"
+
+
+def plainly(rows):
     rows = [(i, t) for i, t in rows if not measures(t)[-1]]
     _, of = grouped(rows)
     groups = {}
@@ -41,14 +45,16 @@ def plainly(spark, rows):
         return False
 
     rows = [r for r in rows if not holds(r[1])]
-    return [(r["doc_id"], r["text"]) for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    return list(zip((i for i, _ in rows), with_surrogates([t for _, t in rows], KEY)))
 
 
-def test_pipeline(spark, tmp_path, library):
+def test_pipeline(spark, tmp_path, library, monkeypatch):
+    monkeypatch.setenv(pii.SECRET_VARIABLE, KEY)
+    spark.conf.unset(pii.SECRET)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "benchmark_decontamination", "surrogates", "packing"]
     rows = [r for r in odd_rows() if r[0] != 8] + [(200, prose(900, 60) + " " + ITEMS[6][1] + " " + prose(901, 30)), (201, prose(902, 80) + " mail bob.42@mail7.example.com now"), (202, "a b c " * 40)]
     at = saved(spark, tmp_path, documents=documents(spark, rows), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"), benchmark=spark.createDataFrame(ITEMS, "item_id long, text string"))
-    expected = plainly(spark, rows)
+    expected = plainly(rows)
     ids = {i for i, _ in expected}
     assert 200 not in ids and 202 not in ids and 201 in ids and len(expected) < len(rows)
     checked(expected, corpus_pipeline.run(spark, at).collect(), library)
