@@ -116,25 +116,34 @@ def first(values: Column) -> Column:
     return F.try_element_at(values, F.lit(1))
 
 
-def persons(found: Column) -> Column:
-    """Array of the canonical form of each name in found (kind, m), in order; of other kinds null. Forms: gender:name, gender m, f or ?."""
-    names = F.transform(found, lambda e: F.struct(F.when(e["kind"] == "name", F.lower(bare_name(e["m"]))).alias("name"), F.when(e["kind"] == "name", gender(e["m"])).alias("g")))
-    full = F.filter(names, lambda e: e["name"].contains(" "))
+def with_persons(rows: DataFrame, found: str, to: str) -> DataFrame:
+    """rows with an array `to`: of each name in found (kind, m) the canonical form of its person (gender:name, gender m, f or ?).
+
+    Null where found has no names. Each step is a column of its own, as steps are used several times."""
+    names, full = unused(rows, "_names"), unused(rows, "_full")
+    is_name = F.exists(found, lambda e: e["kind"] == "name")
+    each = F.transform(found, lambda e: F.struct(F.when(e["kind"] == "name", F.lower(bare_name(e["m"]))).alias("name"), F.when(e["kind"] == "name", gender(e["m"])).alias("g")))
+    rows = rows.withColumn(names, F.when(is_name, each))
 
     def known(e: Column) -> Column:
         """The gender of a full name: of its own mentions, else of its surname's."""
-        own = first(F.transform(F.filter(names, lambda x: (x["name"] == e["name"]) & x["g"].isNotNull()), lambda x: x["g"]))
-        last = F.substring_index(e["name"], " ", -1)
-        return F.coalesce(e["g"], own, first(F.transform(F.filter(names, lambda x: (x["name"] == last) & x["g"].isNotNull()), lambda x: x["g"])))
 
-    full = F.transform(full, lambda e: F.struct(e["name"].alias("name"), F.substring_index(e["name"], " ", -1).alias("last"), known(e).alias("g")))
+        def mentioned(name: Column) -> Column:
+            return first(F.transform(F.filter(names, lambda x: (x["name"] == name) & x["g"].isNotNull()), lambda x: x["g"]))
+
+        return F.coalesce(e["g"], mentioned(e["name"]), mentioned(F.substring_index(e["name"], " ", -1)))
+
+    people = F.filter(names, lambda e: e["name"].contains(" "))
+    rows = rows.withColumn(full, F.transform(people, lambda e: F.struct(e["name"].alias("name"), F.substring_index(e["name"], " ", -1).alias("last"), known(e).alias("g"))))
 
     def form(e: Column) -> Column:
-        of = first(F.filter(full, lambda p: (p["last"] == e["name"]) & (p["g"].isNull() | e["g"].isNull() | (p["g"] == e["g"]))))
-        g = F.when(e["name"].contains(" "), known(e)).otherwise(F.coalesce(e["g"], of["g"]))
-        return F.when(e["name"].isNotNull(), F.concat(F.coalesce(g, F.lit("?")), F.lit(":"), F.coalesce(of["name"], e["name"])))
+        of = first(F.filter(full, lambda p: F.when(e["name"].contains(" "), p["name"] == e["name"]).otherwise(p["last"] == e["name"]) & (p["g"].isNull() | e["g"].isNull() | (p["g"] == e["g"]))))
+        return F.struct(e["name"].alias("name"), e["g"].alias("g"), of.alias("of"))
+
+    def told(e: Column) -> Column:
+        return F.when(e["name"].isNotNull(), F.concat(F.coalesce(e["g"], e["of"]["g"], F.lit("?")), F.lit(":"), F.coalesce(e["of"]["name"], e["name"])))
 
-    return F.when(F.exists(names, lambda e: e["name"].isNotNull()), F.transform(names, form)).otherwise(F.transform(found, lambda e: F.lit(None).cast("string")))
+    return rows.withColumn(to, F.transform(F.transform(names, form), told)).drop(names, full)
 
 
 def canonical(kind: Column, m: Column, person: Column) -> Column:
@@ -213,11 +222,15 @@ def formatted(kind: Column, m: Column, to: Column) -> Column:
     )
 
 
-def entities(text: Column) -> Column:
-    """Array of (kind, of, m) of all matches in order; kind and of are null for those that are no entities."""
-    found = F.when(text.rlike(QUICK), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    found = F.transform(found, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m")))
-    return F.zip_with(found, persons(found), lambda e, p: F.struct(e["kind"].alias("kind"), canonical(e["kind"], e["m"], p).alias("of"), e["m"].alias("m")))
+def with_entities(rows: DataFrame, to: str) -> DataFrame:
+    """rows with an array `to` of (kind, of, m) of all matches in text, in order; kind and of are null for those that are no entities."""
+    found, whose = unused(rows, "_found"), unused(rows, "_whose")
+    text = F.col("text")
+    matches = F.when(text.rlike(QUICK), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn(found, F.transform(matches, lambda m: F.struct(kind_of(m).alias("kind"), m.alias("m"))))
+    rows = with_persons(rows, found, whose)
+    named = F.when(F.col(whose).isNull(), F.array_repeat(F.lit(None).cast("string"), F.size(found))).otherwise(F.col(whose))
+    return rows.withColumn(to, F.zip_with(found, named, lambda e, p: F.struct(e["kind"].alias("kind"), canonical(e["kind"], e["m"], p).alias("of"), e["m"].alias("m")))).drop(found, whose)
 
 
 def apart(kind: Column, to: Column) -> Column:
@@ -270,7 +283,8 @@ def replaced(docs: DataFrame, key: str | None = None, counts: bool = False) -> D
     columns = docs.columns
     own, found_in, special_in = (unused(docs, c) for c in ("_id", "_e", "_special"))
     rows = docs.withColumn(own, F.struct(F.xxhash64(F.col("doc_id").cast("string"), F.col("text")), F.xxhash64(F.lit(own), F.col("text"))))
-    found = rows.where(F.col("text").rlike(QUICK)).select(F.col(own).alias("id"), F.explode(entities(F.col("text"))).alias("e"))
+    # Of explode() Spark would infer a filter on the array, and push it, with all that makes the array, below the steps.
+    found = with_entities(rows.where(F.col("text").rlike(QUICK)), found_in).select(F.col(own).alias("id"), F.explode_outer(found_in).alias("e"))
     found = stored(found.select("id", "e.kind", "e.of").where("kind is not null"), "pii-entities")
     more = special(found, key)
     if more is not None:
@@ -278,7 +292,7 @@ def replaced(docs: DataFrame, key: str | None = None, counts: bool = False) -> D
         rows = rows.join(named, own, "left")
     else:
         rows = rows.withColumn(special_in, F.lit(None).cast("map<string,struct<whose:string,attempt:int>>"))
-    rows = rows.withColumn(found_in, entities(F.col("text")))
+    rows = with_entities(rows, found_in)
 
     def new(e: Column) -> Column:
         known = F.element_at(F.col(special_in), F.concat_ws("|", e["kind"], e["of"]))
