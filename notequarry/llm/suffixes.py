@@ -6,15 +6,21 @@ array of a whole corpus fits no machine, so equal strings are first brought toge
 bytes alone. Equal strings thus have equal anchors, and consecutive strings mostly share one. Each run of starts with
 the same anchor is a window; windows whose anchor occurs once in the corpus hold nothing repeated and go no further.
 
-Windows that are equal as a whole, starts included, are repeated throughout. The distinct windows of an anchor are
-compared by their suffixes: suffixes smaller than their successors are sorted directly, the others are induced by one
-scan over the buckets of the first byte, and neighbours with a common prefix of `LENGTH` bytes are repeated strings.
+Of windows that are equal as a whole (128 bits of hashes: the anchor's, and the window's) one stands for all, with their
+number. All distinct windows of shared anchors go through the suffix sorter: suffixes smaller than their successors are
+sorted directly, the others are induced by one scan over the buckets of the first byte, and a string is repeated if it
+has a common prefix of `LENGTH` bytes with a neighbour, or belongs to a window that stands for several. What the sorter
+marks is then brought to all windows that are equal.
 An anchor with more than `SPLIT` distinct windows is dealt to as many groups as needed by a hash of each start's string:
 equal strings stay together and no window is dropped. Distinct windows that hold one shared string meet in one group, so
 the group of a string that stands in many different surroundings grows with their number.
 
+A row is known by 128 bits of hashes of its doc_id and text, so that rows which share an id, or have none, keep apart;
+rows with the same id and text are alike in all results.
+
 Defined cases: a null text is empty; a text shorter than `LENGTH` bytes keeps all; repeated rows are copies of each
-other, so all of a long enough one goes from each; null doc_ids each get their row.
+other, so all of a long enough one goes from each; null doc_ids each get their row; very long texts are taken in segments
+of `SEGMENT` starts; columns beside doc_id and text are left out, so that no name clashes; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -89,7 +95,7 @@ def windows(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
 
 
 def with_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, at, h, w): t is the text's hash; at packs 8 bits of the number of starts and 40 of the first."""
+    """(r, t, at, h, w): r and t know the row; at packs 8 bits of the number of starts and 40 of the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,9 +107,9 @@ def with_windows(docs: DataFrame) -> DataFrame:
                 hs.append(h)
                 ws.append(w)
             rows = pa.array(np.concatenate(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *(pa.array(np.concatenate(x)) for x in (ats, hs, ws))], names=["doc_id", "t", "at", "h", "w"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), *(pa.array(np.concatenate(x)) for x in (ats, hs, ws))], names=["r", "t", "at", "h", "w"])
 
-    return docs.where("octet_length(data) >= %d" % LENGTH).select("doc_id", "t", "data").mapInArrow(run, "doc_id bigint, t bigint, at bigint, h bigint, w bigint")
+    return docs.where("octet_length(data) >= %d" % LENGTH).select("r", "t", "data").mapInArrow(run, "r bigint, t bigint, at bigint, h bigint, w bigint")
 
 
 def sorted_suffixes(parts: list[bytes], starts: list[int]) -> tuple[bytes, list[int], np.ndarray]:
@@ -155,10 +161,11 @@ def sorted_suffixes(parts: list[bytes], starts: list[int]) -> tuple[bytes, list[
     return text, order, owner
 
 
-def repeated(parts: list[bytes], starts: list[int], length: int = LENGTH, own: list[list[int] | None] | None = None) -> list[np.ndarray]:
+def repeated(parts: list[bytes], starts: list[int], length: int = LENGTH, own: list[list[int] | None] | None = None, times: list[int] | None = None) -> list[np.ndarray]:
     """Of each part the starts, of its first `starts`, whose `length`-byte string starts elsewhere in the parts, too.
 
     own: the only starts of each part that count, or None for all; a part may then stand in several groups.
+    times: how many equal parts each one stands for.
     """
     text, order, owner = sorted_suffixes(parts, starts)
     base = np.r_[0, np.cumsum([len(x) + 1 for x in parts])]
@@ -173,7 +180,11 @@ def repeated(parts: list[bytes], starts: list[int], length: int = LENGTH, own: l
         sa = sa[counts[sa]]
     places = sa.tolist()
     same = np.fromiter((text[a : a + length] == text[b : b + length] for a, b in zip(places, places[1:])), dtype=bool, count=max(0, len(places) - 1))
-    hit = np.sort(sa[np.r_[same, False] | np.r_[False, same]] if len(sa) else sa)
+    if len(sa):
+        often = np.r_[same, False] | np.r_[False, same]
+        hit = np.sort(sa[often if times is None else often | (np.asarray(times)[owner[sa]] > 1)])
+    else:
+        hit = sa
     cuts = np.searchsorted(hit, base)
     return [hit[cuts[k] : cuts[k + 1]] - base[k] for k in range(len(parts))]
 
@@ -181,9 +192,8 @@ def repeated(parts: list[bytes], starts: list[int], length: int = LENGTH, own: l
 def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows of an anchor that has many go to groups by their starts' strings; the starts that don't belong go as gaps."""
     for b in batches:
-        out: list[list] = [[] for _ in range(8)]
-        for h, groups, doc, t, at, n, data in zip(*(b.column(i).to_pylist() for i in range(7))):
-            starts = at & 255
+        out: list[list] = [[] for _ in range(7)]
+        for h, groups, w, starts, n, data in zip(*(b.column(i).to_pylist() for i in range(6))):
             if groups == 1:
                 own = {0: None}
             else:
@@ -191,37 +201,35 @@ def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for s in range(starts):
                     own.setdefault(xxhash.xxh3_64_intdigest(data[s : s + LENGTH], 7) % groups, []).append(s)
             for g, which in own.items():
-                for x, v in zip(out, (h, g, doc, t, at, n, data, which)):
+                for x, v in zip(out, (h, g, w, starts, n, data, which)):
                     x.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["h", "g", "doc_id", "t", "at", "n", "data", "own"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["h", "g", "w", "starts", "n", "data", "own"])
 
 
 def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, t, a, n) of repeated starts in windows that come sorted by group; groups are compared whole."""
+    """(h, w, a, n) of repeated starts in windows that come sorted by group; groups are compared whole."""
     held: list[tuple] = []
     size, last = 0, None
 
     def flush() -> pa.RecordBatch:
-        doc, ts, first, count = [], [], [], []
-        for (_, d, t, at, n, _, _), found in zip(held, repeated([x[5] for x in held], [x[3] & 255 for x in held], LENGTH, [x[6] for x in held])):
-            if n > 1 or not len(found):
-                continue  # all of it is marked, as an equal window exists
-            cuts = np.flatnonzero(np.diff(found) > 1) + 1
-            for run in np.split(found, cuts):
-                if len(run):
-                    doc.append(d)
-                    ts.append(t)
-                    first.append((at >> 8) + int(run[0]))
+        hs, ws, first, count = [], [], [], []
+        found = repeated([x[4] for x in held], [x[2] for x in held], LENGTH, [x[5] for x in held], [x[3] for x in held])
+        for ((h, _), w, *_), starts in zip(held, found):
+            if len(starts):
+                for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+                    hs.append(h)
+                    ws.append(w)
+                    first.append(int(run[0]))
                     count.append(len(run))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, ts, first, count)], names=["doc_id", "t", "a", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hs, ws, first, count)], names=["h", "w", "a", "n"])
 
     for b in batches:
-        for h, g, doc, t, at, n, data, own in zip(*(b.column(i).to_pylist() for i in range(8))):
+        for h, g, w, starts, n, data, own in zip(*(b.column(i).to_pylist() for i in range(7))):
             if size > BATCH_BYTES and (h, g) != last:
                 yield flush()
                 held, size = [], 0
-            held.append(((h, g), doc, t, at, n, data, own))
+            held.append(((h, g), w, starts, n, data, own))
             size, last = size + len(data), (h, g)
     if held:
         yield flush()
@@ -250,29 +258,32 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, a, n): runs of n starts from a on whose strings start elsewhere, too; docs: doc_id, t, data."""
+    """(r, t, a, n): runs of n starts from a on whose strings start elsewhere, too; docs: r, t, data."""
     found = stored(with_windows(docs), "windows")
     # Written, so that the joins below stand on plain exchanges, whose hot keys Spark can split.
     often = stored(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "anchors-shared")
     # Dealt evenly, so that the rows of a hot anchor don't stay in one file, of which a later join could split nothing.
     found = stored(found.join(often, "h", "left_semi").hint("rebalance"), "windows-shared")
-    kinds = stored(found.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "at")).alias("one")), "windows-kinds")
-    equal = found.join(kinds.where("n > 1").select("h", "w"), ["h", "w"], "left_semi")
-    equal = equal.select("doc_id", "t", F.expr("at >> 8").alias("a"), F.expr("at & 255").alias("n"))
-    several = stored(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where("many > 1"), "anchors-mixed")
-    mixed = kinds.join(several, "h").select("h", F.ceil(F.col("many") / SPLIT).cast("long").alias("groups"), F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t"), F.col("one.at").alias("at"), "n")
-    data = F.substring(F.col("data"), (F.expr("at >> 8") + 1).cast("int"), (F.expr("at & 255") + (LENGTH - 1)).cast("int"))
-    same = docs["doc_id"].eqNullSafe(mixed["_id"]) & (docs["t"] == mixed["_t"])
-    mixed = mixed.join(docs, same).select("h", "groups", F.col("_id").alias("doc_id"), "t", "at", "n", data.alias("data"))
-    mixed = mixed.mapInArrow(dealt, "h bigint, g bigint, doc_id bigint, t bigint, at bigint, n bigint, data binary, own array<int>")
-    mixed = mixed.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(marked, "doc_id bigint, t bigint, a bigint, n bigint")
-    return equal.unionByName(mixed)
+    kinds = stored(found.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r", "t", "at")).alias("one")), "windows-kinds")
+    many = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where(f"many > {SPLIT}")
+    groups = F.ceil(F.coalesce("many", F.lit(1)) / SPLIT).cast("long").alias("groups")
+    one = kinds.join(stored(many, "anchors-split"), "h", "left").select("h", groups, "w", "n", F.col("one.r").alias("r"), F.col("one.t").alias("t"), F.col("one.at").alias("at"))
+    starts = F.expr("at & 255")
+    data = F.substring(F.col("data"), (F.expr("at >> 8") + 1).cast("int"), (starts + (LENGTH - 1)).cast("int"))
+    texts = docs.dropDuplicates(["r", "t"]) if docs.groupBy("r", "t").count().where("count > 1").limit(1).count() else docs
+    one = one.join(texts, ["r", "t"]).select("h", "groups", "w", starts.alias("starts"), "n", data.alias("data"))
+    one = one.mapInArrow(dealt, "h bigint, g bigint, w bigint, starts bigint, n bigint, data binary, own array<int>")
+    marks = one.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(marked, "h bigint, w bigint, a bigint, n bigint")
+    # One row for each window with marks, so that a window is joined once.
+    marks = stored(marks, "windows-marked").groupBy("h", "w").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
+    return found.join(marks, ["h", "w"]).select("r", "t", F.transform("runs", lambda x: F.struct((x["a"] + F.expr("at >> 8")).alias("a"), x["n"].alias("n"))).alias("runs"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("t"), text_or_empty().cast("binary").alias("data"))
-    runs = repeats(docs).groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_list(F.struct("a", "n")).alias("runs"))
-    rows = docs.join(runs, docs["doc_id"].eqNullSafe(runs["_id"]) & (docs["t"] == runs["_t"]), "left")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
+    docs = docs.select("doc_id", F.xxhash64("doc_id", "data").alias("r"), F.xxhash64(F.lit("text"), "data", "doc_id").alias("t"), "data")
+    runs = repeats(docs.select("r", "t", "data")).groupBy("r", "t").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    rows = docs.join(runs, ["r", "t"], "left")
     return rows.select("doc_id", "data", "runs").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 

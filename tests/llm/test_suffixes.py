@@ -77,6 +77,20 @@ def test_texts_of_one_id_are_told_apart_where_16_bits_of_their_hashes_agree(spar
     assert len(rows) == 40 and got(suffixes.deduplicated(documents(spark, rows))) == brute(rows)
 
 
+def test_many_rows_without_or_with_equal_ids(spark):
+    """2,000 rows without id and 200 of one id, all with different texts; one in ten holds the passage."""
+    shared = prose(53, 50)[:300]
+    rows = [(None if i < 2000 else 7, prose(20_000 + i, 30 + i % 9) + (shared if i % 10 == 0 else "") + prose(40_000 + i, 12)) for i in range(2200)]
+    rows += rows[:3]
+    assert got(suffixes.deduplicated(documents(spark, rows))) == brute(rows)
+
+
+def test_windows_that_stand_for_several_are_marked_by_the_sorter():
+    a, b = prose(54, 50).encode()[:230], prose(55, 50).encode()[:240]
+    found = suffixes.repeated([a, b, b[3:]], [31, 41, 38], 200, None, [2, 1, 1])
+    assert [x.tolist() for x in found] == [list(range(31)), list(range(3, 41)), list(range(38))]
+
+
 def test_split_groups_and_segments_change_nothing(spark, monkeypatch):
     rows = shared_passages()
     monkeypatch.setattr(suffixes, "SPLIT", 3)
