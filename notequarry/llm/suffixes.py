@@ -39,6 +39,8 @@ from .common import stored, table, text_or_empty
 LENGTH = 200
 GRAM = 32
 SPLIT = 2000
+#: Windows that occur more often than this, and than a quarter of a partition's mean, are joined by several tasks.
+LEAST_OFTEN = 1000
 #: Starts of a text are taken in segments of so many.
 SEGMENT = 1 << 20
 #: Suffixes of small groups are sorted together up to so many bytes.
@@ -276,7 +278,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     marks = one.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(marked, "h bigint, w bigint, a bigint, n bigint")
     # One row for each window with marks, so that a window is joined once.
     marks = stored(marks, "windows-marked").groupBy("h", "w").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
-    return found.join(marks, ["h", "w"]).select("r", "t", F.transform("runs", lambda x: F.struct((x["a"] + F.expr("at >> 8")).alias("a"), x["n"].alias("n"))).alias("runs"))
+    # Windows that occur often are dealt to several tasks; there are at most 4 a partition of them.
+    total = kinds.agg(F.sum("n")).first()[0] or 0
+    unit = max(LEAST_OFTEN, total // (4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    often = F.broadcast(kinds.where(F.col("n") > unit).select("h", "w", F.ceil(F.col("n") / unit).alias("deals")))
+    found = found.join(often, ["h", "w"], "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("r", "t", "at"), F.col("deals")), F.lit(0)))
+    marks = marks.join(often, ["h", "w"], "left").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("deals"), F.lit(1)) - 1))).drop("deals")
+    return found.join(marks, ["h", "w", "deal"]).select("r", "t", F.transform("runs", lambda x: F.struct((x["a"] + F.expr("at >> 8")).alias("a"), x["n"].alias("n"))).alias("runs"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

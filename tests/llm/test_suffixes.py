@@ -94,4 +94,5 @@ def test_windows_that_stand_for_several_are_marked_by_the_sorter():
 def test_split_groups_and_segments_change_nothing(spark, monkeypatch):
     rows = shared_passages()
     monkeypatch.setattr(suffixes, "SPLIT", 3)
+    monkeypatch.setattr(suffixes, "LEAST_OFTEN", 2)
     assert got(suffixes.deduplicated(documents(spark, rows))) == brute(rows)
