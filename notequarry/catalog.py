@@ -106,7 +106,8 @@ CHUNKS_SQL = "chunks as (select vec_id as id, vec_id // 5 as note_id, '# ' || la
 
 
 def fts_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fts.indexed(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("content")))
+    rows = fts.indexed(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("content")))
+    return store.cut(rows, "fts")
 
 
 FTS_SQL = r"""d as (select doc_id as id,
@@ -412,13 +413,8 @@ def text_functions(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", texts.clip_text(text, 200).alias("clipped"), texts.truncate_chars(text, 300).alias("truncated"), texts.note_key(F.col("source")).alias("note_key"), texts.node_key(F.col("lang")).alias("node_key"), texts.token_estimate(text, F.col("source")).alias("estimate"), F.sha2(text, 256).alias("hash"))
 
 
-@query(r"select doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(left(text, 80))), '[^a-z0-9\s-]', '', 'g'), '[-\s]+', '-', 'g'), '-') as slug from documents where lang = 'en'")
-def slugify(spark, sf_dir):
-    return t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", texts.slugify(F.substring("text", 1, 80)).alias("slug"))
-
-
 @query(r"select doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(left(text, 80))), '[^a-z0-9\s-]', '', 'g'), '[-\s]+', '-', 'g'), '-') as slug from documents")
-def slugify_documents(spark, sf_dir):
+def slugify(spark, sf_dir):
     """Slugs in all languages."""
     return t(spark, sf_dir, "documents").select("doc_id", texts.slugify(F.substring("text", 1, 80)).alias("slug"))
 

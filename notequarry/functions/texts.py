@@ -39,21 +39,34 @@ def slugify(texts: pd.Series) -> pd.Series:
     return texts.map(slug, na_action="ignore")
 
 
+#: Letters that case folding takes together beside lower case, as full-text indexes do.
+FOLDED, FOLDED_TO = "µſςϐϑϕϖϰϱϵ", "μsσβθφπκρε"
+
+
 @lru_cache(maxsize=1)
-def accents() -> tuple[str, str]:
-    """Latin letters with accents, and what stays of each without: made from Unicode's decompositions."""
-    pairs = [(c, unicodedata.normalize("NFKD", c)) for c in map(chr, range(0xC0, 0x250))]
-    pairs = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii() and all(unicodedata.combining(x) for x in d[1:])]
-    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+def accents() -> tuple[str, str, str]:
+    """Latin letters with one accent, what stays of each without, and the accents: made from Unicode's decompositions."""
+    pairs = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])]
+    pairs = [(c, d) for c, d in pairs if len(d) == 2 and d[0].isascii() and d[0].isalpha()]
+    return "".join(c for c, _ in pairs), "".join(d[0] for _, d in pairs), "".join(sorted({d[1] for _, d in pairs}))
 
 
-def without_accents(text: Column) -> Column:
-    return F.translate(text, *accents())
+def folded(text: Column) -> Column:
+    """Lower case, Latin letters without their accent; accents that stand by themselves go."""
+    letters, plain, marks = accents()
+    return F.translate(F.lower(F.translate(text, letters + marks, plain)), FOLDED, FOLDED_TO)
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased, without accents."""
-    return F.regexp_extract_all(F.lower(without_accents(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, folded."""
+    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def tokens_of(text: str) -> list[str]:
+    """What tokens() gives, of a string in the driver."""
+    letters, plain, marks = accents()
+    gone = str.maketrans(letters, plain, marks)
+    return re.findall(r"[^\W_]+", text.translate(gone).lower().translate(str.maketrans(FOLDED, FOLDED_TO)))
 
 
 def words(text: Column) -> Column:

@@ -3,7 +3,9 @@
 A query is a tree of phrases: words stand for all of them, AND, OR and NOT bind in this order of looseness: OR, AND, NOT;
 "a b" is a phrase, a* a prefix, title:a keeps to a column, NEAR(a b, n) wants phrases with at most n words between, and
 parentheses group. Each document is one row with its columns' words joined by blanks, so that every phrase is an
-expression over that row: a query is one aggregation for the numbers of documents, and one pass to match and rank.
+expression over that row: a query is one aggregation for the numbers of documents, and one pass to match and rank. Such
+rows are what a knowledge base stores as its index (see plans.knowledge), so that no query cuts texts into words again;
+index and queries fold words by the same rules, those of the usual full-text indexes: Latin letters lose one accent.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.texts import tokens
+from ..functions.texts import tokens, tokens_of
 
 COLUMNS = ("title", "content")
 K1, B = 1.2, 0.75
@@ -48,13 +50,6 @@ class Node:
 LEX = re.compile(r'\s+|(?P<string>"(?:[^"]|"")*")|(?P<sign>[():*,+{}])|(?P<word>[\w\x80-\U0010ffff]+)', re.UNICODE)
 
 
-def words_of(text: str) -> list[str]:
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-    return re.findall(r"[^\W_]+", plain)
-
-
 class Parser:
     def __init__(self, text: str):
         self.items: list[tuple[str, str]] = []
@@ -142,11 +137,11 @@ class Parser:
         kind, value = self.take()
         if kind not in ("string", "word") or kind == "word" and value in ("AND", "OR", "NOT"):
             raise QueryError(f"syntax error near {value!r}")
-        words = words_of(value[1:-1] if kind == "string" else value)
+        words = tokens_of(value[1:-1] if kind == "string" else value)
         while self.peek() == ("sign", "+"):
             self.take()
             kind, value = self.take()
-            words += words_of(value[1:-1] if kind == "string" else value)
+            words += tokens_of(value[1:-1] if kind == "string" else value)
         prefix = self.peek() == ("sign", "*")
         if prefix:
             self.take()

@@ -60,7 +60,7 @@ def merged(tables: dict[str, DataFrame], files: DataFrame, present: DataFrame, r
     nodes = changes.without_orphans(nodes, edges)
     out = {t: store.cut(df, t) for t, df in (("nodes", nodes), ("edges", edges), ("chunks", chunks))}
     stats = BuildStats(todo.count(), found.count(), out["nodes"].count(), out["edges"].count())
-    return tables | out, stats
+    return {t: df for t, df in tables.items() if t != "fts"} | out, stats
 
 
 def build(spark: SparkSession, source: str, root: str, extractor: Extractor = GazetteerExtractor(), embedder: Embedder = HashingEmbedder()) -> BuildStats:

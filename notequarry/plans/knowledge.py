@@ -66,6 +66,13 @@ class KnowledgeBase:
     def communities(self) -> DataFrame:
         return self.tables["communities"]
 
+    @property
+    def index(self) -> DataFrame:
+        """The stored full-text index; one made now for tables that weren't loaded."""
+        if "fts" not in self.tables:
+            self.tables["fts"] = store.cut(fts.indexed(changes.searchable(self.nodes)), "fts")
+        return self.tables["fts"]
+
     def _vector(self, text: str) -> list[float]:
         found = [float(x) for x in self.embedder.embed([text])[0]]
         if not found:
@@ -97,7 +104,7 @@ class KnowledgeBase:
 
     def fts(self, query: str, limit: int | None = None, notes_only: bool = False) -> DataFrame:
         """(id, label, type, rank): best first; notes_only holds after the limit."""
-        hits = fts.search(fts.indexed(changes.searchable(self.nodes)), query, limit or self.config.fts_limit)
+        hits = fts.search(self.index, query, limit or self.config.fts_limit)
         rows = hits.join(self.nodes.select("id", "label", "type"), "id")
         return (rows.where(F.col("type") == "note") if notes_only else rows).orderBy("rank", "id")
 

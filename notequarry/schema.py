@@ -16,6 +16,7 @@ COMMUNITIES = (
     "member_count long, algorithm string, quality_fn string, resolution double, summary_model string, embed_model string, "
     "summary_tokens long, keywords array<string>, topics array<string>, created_at timestamp"
 )
+INDEX = "id long, title string, content string, length int"
 TABLES = {"nodes": NODES, "edges": EDGES, "chunks": CHUNKS, "communities": COMMUNITIES}
 SENTINELS = ("root", "system")
 

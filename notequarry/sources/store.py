@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import TABLES, conformed, schema
+from ..schema import INDEX, TABLES, conformed, schema
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,19 +31,26 @@ def empty(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def save(tables: dict[str, DataFrame], root: str) -> str:
-    """Writes all tables as a new version and makes it the current one; edges lie by source for expansion."""
+    """Writes all tables and the full-text index as a new version and makes it the current one; edges lie by source for expansion."""
+    from ..operators import changes, fts
+
     spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
     for t in TABLES:
         df = conformed(tables[t], t) if t in tables else spark.createDataFrame([], schema(t))
         (df.repartition("source_id").sortWithinPartitions("source_id") if t == "edges" else df).write.parquet(f"{root}/{version}/{t}")
+    # From the nodes just written: what stands in the index is what stands in the table.
+    nodes = spark.read.schema(schema("nodes")).parquet(f"{root}/{version}/nodes")
+    fts.indexed(changes.searchable(nodes)).write.parquet(f"{root}/{version}/fts")
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
     return version
 
 
 def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the current version, and as `fts` its full-text index."""
     version = spark.read.text(f"{root}/current").first()[0]
-    return {t: spark.read.schema(schema(t)).parquet(f"{root}/{version}/{t}") for t in TABLES}
+    tables = {t: spark.read.schema(schema(t)).parquet(f"{root}/{version}/{t}") for t in TABLES}
+    return tables | {"fts": spark.read.schema(INDEX).parquet(f"{root}/{version}/fts")}
 
 
 def reset(spark: SparkSession, root: str) -> None:

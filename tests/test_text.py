@@ -42,7 +42,7 @@ def test_text_columns(spark):
 def test_slugs_of_documents_in_all_languages(spark, tmp_path):
     rows = [(1, "en", "A plain Line", "a-plain-line"), (2, "fr", "Été à  Nîmes, où ça?", "ete-a-nimes-ou-ca"), (3, "de", "Größe - Übung", "groe-ubung"), (4, "es", "¿Qué Ñandú?", "que-nandu"), (None, None, "Ÿ", "y"), (5, "fr", None, None), (6, "fr", "é" * 90, "e" * 80)]
     spark.createDataFrame([r[:3] for r in rows], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r["doc_id"]: r["slug"] for r in catalog.QUERIES["slugify_documents"](spark, str(tmp_path)).collect()}
+    found = {r["doc_id"]: r["slug"] for r in catalog.QUERIES["slugify"](spark, str(tmp_path)).collect()}
     assert found == {r[0]: r[3] for r in rows}
 
 
@@ -166,3 +166,22 @@ class Broken:
 
     def embed(self, texts):
         raise MemoryError
+
+
+FOREIGN = [
+    "йод и ёлка", "и\u0306од", "Việt Nam", "Vie\u0323\u0302t", "piñata", "pin\u0303ata", "ΟΔΟΣ οδός", "Ärger straße ŠKODA", "don't stop", "naïve façade œuvre", "İstanbul ıslak", "ﬁne x²", "日本語 テスト", "a_b c-d", "ſun µm",
+]
+ASKED = ["йод", "ёлка", "елка", "Việt", "viet", "piñata", "pinata", "οδος", "οδός", "arger", "straße", "skoda", "naive", "œuvre", "istanbul", "日本語", "b", "c", "sun", "vi*", '"и од"', "x²"]
+
+
+def test_words_fold_as_in_a_full_text_index(spark):
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table f using fts5(title, content)")
+    db.executemany("insert into f(rowid, title, content) values (?, '', ?)", enumerate(FOREIGN, 1))
+    index = fts.indexed(spark.createDataFrame([(i, "", x) for i, x in enumerate(FOREIGN, 1)], "id long, title string, content string"))
+    for q in ASKED:
+        match = q if q.startswith('"') else f'"{q[:-1]}"*' if q.endswith("*") else f'"{q}"'
+        expected = [r[0] for r in db.execute("select rowid from f where f match ? order by rowid", (match,))]
+        assert sorted(r["id"] for r in fts.search(index, q, None).collect()) == expected, q
