@@ -190,7 +190,24 @@ def hybrid_rerank(spark, sf_dir):
     return rows.select("note_id", F.regexp_replace("label", " special$", "").alias("label"), F.round("score", 6).alias("score"))
 
 
-@query()
+HYBRID_SQL = f"""with recursive {CHUNKS_SQL}, n as (select distinct note_id from chunks),
+e as (select note_id as a, note_id // 2 as b from n where note_id > 0 union select note_id // 2, note_id from n where note_id > 0),
+k as (select *, list_cosine_similarity(v, qv) as c from chunks, q order by c desc, id limit 10),
+best as (select *, 0.7 * (c + 0.1 + 0.2) as score from k qualify row_number() over (partition by note_id order by c desc, id) = 1),
+cand as (select *, row_number() over (order by score desc, note_id) as r from best),
+near as (select origin, id, min(d) as d from (select note_id as origin, b as id, 0 as d from cand join e on a = note_id union all select note_id, y.b, 1 from cand join e x on x.a = note_id join e y on y.a = x.b) where id <> origin group by origin, id),
+listed as (select origin, list({{'id': id, 'label': 'Note ' || id, 'type': 'note', 'distance': d}} order by d, id) as l from (select * from near qualify row_number() over (partition by origin order by d, id) <= 20) group by origin),
+c as (select cand.*, coalesce(l, []) as l, coalesce(list_transform(l[:3], lambda x: x.id), []) as three from cand left join listed on origin = note_id),
+w as (select 0::bigint as r, []::struct(id bigint, r bigint, own boolean)[] as found
+  union all select c.r, case when list_contains(list_transform(found, lambda x: x.id), c.note_id) then found else found || [{{'id': c.note_id, 'r': c.r, 'own': true}}]
+    || list_transform(list_filter(three, lambda y: not list_contains(list_transform(found, lambda x: x.id), y)), lambda y: {{'id': y, 'r': c.r, 'own': false}}) end from w join c on c.r = w.r + 1),
+shown as (select unnest(found, recursive := true) from (select found from w order by r desc limit 1)),
+rows as (select s.id, s.own, case when own then c.score else (1 - 0.7) * c.score end as score, c.l, c.header, c.text from shown s join c on c.r = s.r order by score desc, s.id limit 20)
+select id, 'Note ' || id as label, 'note' as type, round(case when max(score) over () > min(score) over () then (score - min(score) over ()) / (max(score) over () - min(score) over ()) else score end, 6) as score,
+  case when own then text else '' end as content, 'notes/' || id || '.md' as file, case when own then to_json(l)::varchar else '[]' end as neighbors, case when own then header else '' end as chunk_header, case when own then text else '' end as chunk_text from rows"""
+
+
+@query(HYBRID_SQL)
 def hybrid_search(spark, sf_dir):
     out = hybrid.hybrid_search(vector_notes(spark, sf_dir), note_edges(spark, sf_dir), chunks(spark, sf_dir), "note about nothing", query_vector(spark, sf_dir), k=10, depth=1)
     return out.withColumns({"score": F.round("score", 6), "neighbors": F.to_json("neighbors")})
@@ -214,9 +231,12 @@ def metadata_filter_and(spark, sf_dir):
     return documents(spark, sf_dir).where(filters.all_of(F.col("metadata"), ["lang != en", "n_chars > 1000"])).select("id")
 
 
-@query("select event_id from events where false")
+@query("select event_type, count(*) as events, 0::bigint as without_it, count(*) as with_it from events group by event_type")
 def metadata_filter_missing(spark, sf_dir):
-    return t(spark, sf_dir, "events").where(filters.all_of(F.col("props"), ["nothing != 5"])).select("event_id")
+    """A field that no event has is never selected, not even by !=; one that all have is."""
+    rows = t(spark, sf_dir, "events")
+    lacking, having = (filters.all_of(F.col("props"), [f]) for f in ("nothing != 5", "k != -5"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_if(lacking).alias("without_it"), F.count_if(having).alias("with_it"))
 
 
 @query("select o_orderkey, coalesce(try_cast(regexp_extract(o_orderpriority, '^\\s*([+-]?[0-9]+)', 1) as double), 0.0) as n from orders")
@@ -286,10 +306,11 @@ def graph_degrees(spark, sf_dir):
     return graph.degrees(place_edges(spark, sf_dir))
 
 
-@query(f"with {PLACES_SQL}, r as (select id, 1000000000::bigint + n_regionkey as component from places join nation on type = 'nation' and id = n_nationkey + 2000000000) select * from r union all select r_regionkey + 1000000000::bigint, r_regionkey + 1000000000::bigint from region where r_regionkey in (select n_regionkey from nation)")
+@query(f"""with recursive {PLACES_SQL}, r as (select id, id as component from places union select b, component from r join both_ways on a = id)
+select id, min(component) as component from r where id in (select a from both_ways) group by id""")
 def graph_components(spark, sf_dir):
-    links = place_edges(spark, sf_dir).where(F.col("source_id").between(BASES["nation"], BASES["supplier"] - 1))
-    return graph.components(links)
+    """All customers and suppliers hang on the nations of a region."""
+    return graph.components(place_edges(spark, sf_dir))
 
 
 # Notes, entities, changes.
@@ -327,10 +348,12 @@ def tagged_with_edges(spark, sf_dir):
     return entities.taggings(doc_notes(spark, sf_dir)).drop("context")
 
 
-@query("select c_custkey + 4000000000::bigint as id from customer where c_custkey not in (select o_custkey from orders)")
+@query("select c_custkey + 4000000000::bigint as id from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')")
 def orphan_nodes(spark, sf_dir):
-    nodes = places(spark, sf_dir).where(F.col("type") == "customer")
-    links = t(spark, sf_dir, "orders").select((F.col("o_custkey") + BASES["customer"]).alias("source_id"), F.col("o_orderkey").alias("target_id"))
+    """Customers without urgent orders; nations, regions and suppliers all have edges."""
+    nodes = places(spark, sf_dir)
+    links = t(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") + BASES["customer"]).alias("source_id"), F.col("o_orderkey").alias("target_id"))
+    links = links.unionByName(place_edges(spark, sf_dir).where(F.col("source_id") < BASES["customer"]).select("source_id", "target_id"))
     return nodes.select("id").join(changes.without_orphans(nodes, links).select("id"), "id", "left_anti")
 
 
@@ -419,7 +442,13 @@ def slugify(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", texts.slugify(F.substring("text", 1, 80)).alias("slug"))
 
 
-@query()
+@query(r"""with b as (select 'pages/' || page_id || '.md' as path, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'),
+    '(?is)<h([1-3])[^>]*>', chr(10) || '@H\1 ', 'g'), '(?is)</h[1-3]>', chr(10), 'g'), '<[^>]*>', ' ', 'g') as body from pages),
+l as (select path, unnest(string_split(replace(replace(replace(body, '@H1 ', '# '), '@H2 ', '## '), '@H3 ', '### '), chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) as i from b),
+h as (select *, regexp_matches(line, '^#{1,3}\s+\S') as head from l), g as (select *, count(*) filter (where head) over (partition by path order by i) as g from h),
+p as (select path, g, coalesce(max(trim(line, ' ' || chr(9) || chr(13))) filter (where head), '') as header, trim(coalesce(string_agg(line, chr(10) order by i) filter (where not head), ''), ' ' || chr(9) || chr(10) || chr(13)) as text from g group by path, g)
+select path, (row_number() over (partition by path order by g) - 1)::int as ord, header, text,
+  trim(regexp_replace(regexp_replace(lower(strip_accents(left(text, 80))), '[^a-z0-9\s-]', '', 'g'), '[-\s]+', '-', 'g'), '-') as slug from p where strlen(text) >= 50""")
 def chunk_sections(spark, sf_dir):
     """Headings of pages as Markdown, cut into chunks."""
     from .sources import markdown
@@ -469,10 +498,10 @@ def node_listing(spark, sf_dir):
     return store.node_listing(places(spark, sf_dir), "entity")
 
 
-@query("select s_suppkey as id, s_name as source, n_name as target, 'belongs_to' as type, 1.0::double as weight from supplier join nation on s_nationkey = n_nationkey order by s_suppkey limit 500")
+@query(f"with {PLACES_SQL}, k as (select a as id, * from links order by a limit 500) select k.id, x.label as source, y.label as target, 'belongs_to' as type, weight from k join places x on x.id = a join places y on y.id = b")
 def edge_listing(spark, sf_dir):
-    links = place_edges(spark, sf_dir).where(F.col("source_id").between(BASES["supplier"], BASES["customer"] - 1)).withColumn("id", F.col("source_id") - BASES["supplier"])
-    return store.edge_listing(places(spark, sf_dir), links).drop("context")
+    """The first edges of the whole graph; an edge's id is that of its source, which has one edge only."""
+    return store.edge_listing(places(spark, sf_dir), place_edges(spark, sf_dir).withColumn("id", F.col("source_id"))).drop("context")
 
 
 def vector_communities(spark, sf_dir) -> DataFrame:
@@ -538,3 +567,6 @@ def rag_sources(spark, sf_dir):
 @query("select '- [' || source || '](' || source || '/' || lang || '.md)' as line from documents where doc_id % 3 > 0")
 def result_markdown_list(spark, sf_dir):
     return render.links(as_results(spark, sf_dir))
+
+
+from . import inventory  # noqa: E402, F401  registers its queries here

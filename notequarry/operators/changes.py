@@ -47,6 +47,13 @@ def upserted(nodes: DataFrame, fresh: DataFrame, keep_first: tuple[str, ...] = (
     return rows.where("id is not null").unionByName(added.select(rows.columns))
 
 
+def with_ids(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """links (source, target: keys, ...) with source_id and target_id; those with an end that is no node go."""
+    key = nodes.select("key", "id")
+    rows = links.join(key.select(F.col("key").alias("source"), F.col("id").alias("source_id")), "source")
+    return rows.join(key.select(F.col("key").alias("target"), F.col("id").alias("target_id")), "target")
+
+
 def without_edges_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that touch none of the nodes (id)."""
     ids = nodes.select("id")

@@ -29,6 +29,12 @@ def file_of(metadata: Column) -> Column:
     return F.coalesce(string_field(metadata, "path"), F.lit(""))
 
 
+def previews(nodes: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, label, preview) of each node: the text of its first chunk, else the content in its metadata, else nothing."""
+    first = chunks.groupBy(F.col("note_id").alias("id")).agg(F.min_by("text", "id").alias("_text"))
+    return nodes.join(first, "id", "left").select("id", "label", F.coalesce("_text", content_of(F.col("metadata"))).alias("preview"))
+
+
 def reranked(nodes: DataFrame, top: DataFrame, query: str, alpha: float, filters: Sequence[str] = ()) -> DataFrame:
     """Candidate notes: the best chunk of each, with score alpha * (similarity + title bonus + note bonus), best first.
 

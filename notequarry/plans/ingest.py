@@ -51,7 +51,7 @@ def merged(tables: dict[str, DataFrame], files: DataFrame, present: DataFrame, r
     nodes = store.cut(changes.upserted(nodes, found, ("label", "type")), "nodes")
     nodes = store.cut(changes.upserted(nodes, groups, ("label", "type")), "nodes")
     key = nodes.select("key", "id")
-    added = links.join(key.select(F.col("key").alias("source"), F.col("id").alias("source_id")), "source").join(key.select(F.col("key").alias("target"), F.col("id").alias("target_id")), "target")
+    added = changes.with_ids(links, key)
     edges = edges.unionByName(conformed(changes.next_ids(added.drop("source", "target"), "source_id", edges.agg(F.max("id")).first()[0] or 0), "edges"))
     new = parts.join(key.select(F.expr("substring(key, 6)").alias("path"), F.col("id").alias("note_id")).where("path is not null"), "path")
     new = changes.next_ids(new.select("note_id", "header", "text", "slug", "embedding", "ord"), "note_id", chunks.agg(F.max("id")).first()[0] or 0)
