@@ -1,7 +1,7 @@
 """Benchmark decontamination by edit distance over words: CGK embedding, bit-sampling LSH, exact verification.
 
 A document holds an item if some run of its words is within `floor((1 - SIMILARITY) * words)` word edits of the item.
-Words are runs of letters and digits, lower-cased. An item of n words and k allowed edits shares at least n - 1 - 2k of
+Words are runs of letters and digits, lower-cased; in scripts that put no blanks between words each letter is one. An item of n words and k allowed edits shares at least n - 1 - 2k of
 its neighbouring word pairs with such a run (an edit destroys two pairs at most), so only places whose surroundings hold
 that many word pairs of the benchmark can begin one; this filter loses nothing, and everything else is left at once.
 
@@ -15,10 +15,14 @@ So keys alone decide only where they find a copy without edits. Of every other t
 are counted for that item alone, which again loses nothing, and what has enough of them within a window is compared
 exactly at all places. All pairs within the allowed edits are returned, with the fewest edits, and no others.
 
+Items of 1 to 4 words allow no edit: they are looked up as they are.
+
 The benchmark is taken in blocks of `BLOCK_ITEMS`, each broadcast to one pass over all documents.
 
-Defined cases: null texts are empty and hold nothing; items with fewer than 5 words are not searched for; repeated
-documents and items each get their rows; null doc_ids and item_ids are kept as they are.
+Defined cases: null texts are empty and hold nothing; items without words are not searched for; repeated documents and
+items each get their rows; null doc_ids and item_ids are kept as they are; of several best places the first one counts;
+very long texts are searched whole, in pieces; columns beside doc_id and text, and item_id and text, are left out by
+leaks(), and kept by the stage, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +43,9 @@ WALKS, SAMPLES, BITS = 8, 8, 3
 BLOCK_ITEMS = 20_000
 #: Items are searched by classes of size: the largest of a class is at most this much above the smallest.
 CLASS_GROWTH = 1.25
-WORD = re.compile(r"[^\W_]+")
+#: Scripts without blanks between words: Thai, Lao, Burmese, Khmer, Chinese and Japanese signs.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u312f\u31a0-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[^\W_{UNSPACED}]+|(?!_)\w")
 SEED = 20_240_229
 #: Texts searched, windows embedded, and word pairs looked up by item, at a time.
 TEXTS, WINDOWS, PAIRS = 512, 8192, 1024
@@ -133,9 +139,15 @@ class Benchmark:
         self.similarity = similarity
         self.vocabulary: dict[str, int] = {}
         self.ids, self.items = [], []
+        self.short: dict[int, list[tuple[int, list[int]]]] = {}  # by the first word's number
+        self.short_ids = []
         for item_id, text in items:
             w = words(text or "")
-            if len(w) >= LEAST_WORDS:
+            if 0 < len(w) < LEAST_WORDS:
+                numbers = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w]
+                self.short.setdefault(numbers[0], []).append((len(self.short_ids), numbers))
+                self.short_ids.append(item_id)
+            elif w:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w], dtype=np.int32))
         self.base = len(self.vocabulary) + 1
@@ -168,6 +180,9 @@ class Benchmark:
             codes = self.walks.codes(rows, low + low // 2)
             self.tables.append((own, [(order := np.argsort(c, kind="stable"), c[order]) for c in codes]))
 
+    def id_of(self, i: int) -> int | None:
+        return self.ids[i] if i < len(self.ids) else self.short_ids[i - len(self.ids)]
+
     @staticmethod
     def slot(pairs: np.ndarray) -> np.ndarray:
         return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
@@ -222,7 +237,7 @@ class Benchmark:
         known = self.vocabulary.get
         w = np.array([known(x, 0) for x in words(text)], dtype=np.int32)
         none = [np.empty(0, np.int64)] * len(self.classes)
-        if len(w) < LEAST_WORDS - 1 or not self.items:
+        if not self.items or len(w) < LEAST_WORDS - 1:
             return w, none
         at, _ = self.shared(w)
         if len(at) < min(need for *_, need in self.classes):
@@ -240,15 +255,18 @@ class Benchmark:
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(number of the text, number of the item, edits, first word, words) of every item that a text holds, at its best place."""
         held: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in self.classes]
-        left = []
+        left, numbered = [], []
         for t, text in enumerate(texts):
             w, places = self.places(text)
+            if self.short:
+                numbered.append((t, w))
             if any(len(x) for x in places):
                 left.append((t, w))
             for own, starts in zip(held, places):
                 if len(starts):
                     own.append((t, w, starts))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        self.exactly(numbered, best)
         for k, own in enumerate(held):
             width = self.classes[k][1] + edits_allowed(self.classes[k][1], self.similarity) + 1
             parts, of, size = [], [], 0
@@ -268,6 +286,16 @@ class Benchmark:
             self.complete(t, w, best)
         return [(*key, *value) for key, value in sorted(best.items())]
 
+    def exactly(self, texts: list[tuple[int, np.ndarray]], best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+        """Notes in best where items below LEAST_WORDS stand first; they are numbered after the others."""
+        begins = np.zeros(self.base + 1, dtype=bool)
+        begins[list(self.short)] = True
+        for t, w in texts:
+            for at in np.flatnonzero(begins[w]).tolist():
+                for i, item in self.short[int(w[at])]:
+                    if (t, len(self.ids) + i) not in best and w[at : at + len(item)].tolist() == item:
+                        best[t, len(self.ids) + i] = (0, at, len(item))
+
     def near(self, k: int, windows: np.ndarray, of: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
         """Notes in best what windows of a class hold; of: text and first word of each."""
         low, high, _ = self.classes[k]
@@ -323,7 +351,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
             for b in batches:
                 texts, found = b.column(2).to_pylist(), []
                 for at in range(0, len(texts), TEXTS):
-                    found += ((at + t, items.ids[i], *x) for t, i, *x in items.search(texts[at : at + TEXTS]))
+                    found += ((at + t, items.id_of(i), *x) for t, i, *x in items.search(texts[at : at + TEXTS]))
                 at = pa.array([x[0] for x in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array([x[j] for x in found], pa.int64()) for j in range(1, 5))], names=["doc_id", "text_hash", "item_id", "edits", "first_word", "n_words"])
 

@@ -136,3 +136,36 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     docs = documents(spark, [(i, t) for i, t in ITEMS])
     assert sorted((x["doc_id"], x["item_id"]) for x in d.leaks(docs, benchmark).collect()) == [(i, i) for i, _ in ITEMS]
+
+
+def test_recall_at_all_allowed_edits_by_size():
+    """Planted items with exactly as many insertions, deletions, changes or dropped blocks as allowed, 5 to 800 words long."""
+    r = random.Random(11)
+    for size in (5, 15, 60, 200, 400, 800):
+        item = prose(7000 + size, size)
+        benchmark, k = d.Benchmark([(1, item), (2, prose(77, 30))]), d.edits_allowed(size)
+        for how in ("mixed", "delete", "insert", "block"):
+            for trial in range(3):
+                w = item.split()
+                if how == "mixed":
+                    w = edited(w, k, r)
+                elif how == "delete":
+                    for _ in range(k):
+                        del w[r.randrange(len(w))]
+                elif how == "insert":
+                    for _ in range(k):
+                        w.insert(r.randrange(len(w)), "qq")
+                else:
+                    at = r.randrange(len(w) - k)
+                    del w[at : at + k]
+                text = " ".join([prose(trial, 40), *w, prose(trial + 9, 40)])
+                assert [x[1] for x in benchmark.search([text])] == [0], (size, how)
+
+
+def test_short_items_and_scripts_without_blanks():
+    items = [(1, "one"), (2, "Two words!"), (3, "three of them"), (4, "four of them here"), (5, "日本語の試験問題です"), (6, "東京"), (7, "..."), (None, "one")]
+    benchmark = d.Benchmark(items)
+    found = benchmark.search(["ONE more", "these two, words", "three of the", "that is four of them here, three of them", "これは日本語の試験間題です。", "東 京 and 京東", "", "onemore"])
+    assert [(t, benchmark.id_of(i), n, at, w) for t, i, n, at, w in found] == [
+        (0, 1, 0, 0, 1), (0, None, 0, 0, 1), (1, 2, 0, 1, 2), (3, 3, 0, 6, 3), (3, 4, 0, 2, 4), (4, 5, 1, 3, 10), (5, 6, 0, 0, 2),
+    ]
