@@ -169,9 +169,13 @@ def shaped(form: Column, letters: Column, numbers: Column) -> Column:
     return F.aggregate(F.filter(F.split(form, ""), lambda c: c != ""), start, step, lambda s: s["out"])
 
 
-def surrogate(kind: Column, of: Column, attempt: Column, key: str) -> Column:
-    """The canonical surrogate of a canonical form."""
-    code = F.sha2(F.concat_ws("|", F.lit(key), kind, of, attempt.cast("string")), 256)
+def keyed(kind: Column, of: Column, attempt: Column, key: str) -> Column:
+    """The hash that a surrogate is made of; a value of its own, as many parts of it are used."""
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, of, attempt.cast("string")), 256)
+
+
+def surrogate(kind: Column, of: Column, attempt: Column, code: Column) -> Column:
+    """The canonical surrogate of a canonical form, from keyed()."""
 
     def number(i: int) -> Column:
         return F.conv(F.substring(code, 1 + 15 * i, 15), 16, 10).cast("long")
@@ -244,8 +248,9 @@ def attempts(corpus: DataFrame, key: str) -> DataFrame:
     done = taken = corpus.select("kind", apart(F.col("kind"), F.col("of")).alias("to"))
     pending, late = corpus, None
     for k in range(MAX_ATTEMPTS):
-        new = surrogate(F.col("kind"), F.col("of"), F.lit(k), key)
-        tried = stored(pending.select("kind", "of", apart(F.col("kind"), new).alias("to")), "pii-tried")
+        each = F.struct(F.col("kind"), F.col("of"), keyed(F.col("kind"), F.col("of"), F.lit(k), key).alias("code"))
+        new = F.transform(F.array(each), lambda e: surrogate(e["kind"], e["of"], F.lit(k), e["code"]))  # noqa: B023  called at once
+        tried = stored(pending.select("kind", "of", apart(F.col("kind"), new[0]).alias("to")), "pii-tried")
         won = stored(tried.join(taken, ["kind", "to"], "left_anti").groupBy("kind", "to").agg(F.min("of").alias("of")), "pii-won")
         pending = stored(tried.join(won, ["kind", "of"], "left_anti").select("kind", "of"), "pii-pending")
         done = done.unionByName(won.select("kind", "to"))
@@ -294,13 +299,26 @@ def replaced(docs: DataFrame, key: str | None = None, counts: bool = False) -> D
         rows = rows.withColumn(special_in, F.lit(None).cast("map<string,struct<whose:string,attempt:int>>"))
     rows = with_entities(rows, found_in)
 
-    def new(e: Column) -> Column:
+    # Step by step over the array: what a step makes of an entity is computed once, however often the next uses it.
+    def resolved(e: Column) -> Column:
         known = F.element_at(F.col(special_in), F.concat_ws("|", e["kind"], e["of"]))
-        whose, attempt = F.coalesce(known["whose"], F.when(e["kind"] == "name", guessed(e["of"])).otherwise(e["of"])), F.coalesce(known["attempt"], F.lit(0))
-        return F.when(e["kind"].isNull(), e["m"]).otherwise(formatted(e["kind"], e["m"], surrogate(e["kind"], whose, attempt, key)))
+        return F.struct(e["kind"].alias("kind"), e["m"].alias("m"), F.when(e["kind"] == "name", guessed(e["of"])).otherwise(e["of"]).alias("of"), known.alias("known"))
+
+    def tried(e: Column) -> Column:
+        return F.struct(e["kind"].alias("kind"), e["m"].alias("m"), F.coalesce(e["known"]["whose"], e["of"]).alias("of"), F.coalesce(e["known"]["attempt"], F.lit(0)).alias("attempt"))
+
+    def coded(e: Column) -> Column:
+        return F.struct(e["kind"].alias("kind"), e["m"].alias("m"), e["of"].alias("of"), e["attempt"].alias("attempt"), keyed(e["kind"], e["of"], e["attempt"], key).alias("code"))
+
+    def new(e: Column) -> Column:
+        return F.struct(e["kind"].alias("kind"), e["m"].alias("m"), surrogate(e["kind"], e["of"], e["attempt"], e["code"]).alias("to"))
 
+    made = F.col(found_in)
+    for step in (resolved, tried, coded, new):
+        made = F.transform(made, step)
+    made = F.transform(made, lambda e: F.when(e["kind"].isNull(), e["m"]).otherwise(formatted(e["kind"], e["m"], e["to"])))
     between = F.split(F.col("text"), PATTERN, -1)
-    put = F.zip_with(between, F.concat(F.transform(found_in, new), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
+    put = F.zip_with(between, F.concat(made, F.array(F.lit(""))), lambda a, b: F.concat(a, b))
     rows = rows.withColumn("text", F.when(F.size(found_in) > 0, F.array_join(put, "")).otherwise(F.col("text")))
     tally = [F.size(F.filter(found_in, lambda e: e["kind"] == F.lit(k))).cast("long").alias(f"n_{k}") for k in KINDS] if counts else []  # noqa: B023  called at once
     return rows.select(*(F.col(f"`{c}`") for c in columns), *tally)
