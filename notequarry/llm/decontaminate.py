@@ -51,8 +51,13 @@ SEED = 20_240_229
 TEXTS, WINDOWS, PAIRS = 512, 8192, 1024
 
 
+#: The same for texts that have nothing as high as the first of those scripts.
+PLAIN_WORD, HIGH = re.compile(r"[^\W_]+"), re.compile("[\u0e00-\U0010ffff]")
+
+
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    text = text.lower()
+    return (PLAIN_WORD if text.isascii() or not HIGH.search(text) else WORD).findall(text)
 
 
 def edits_allowed(n: int, similarity: float = SIMILARITY) -> int:
