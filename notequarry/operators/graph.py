@@ -1,7 +1,8 @@
 """Bounded expansion, shortest paths and subgraphs of an undirected multigraph.
 
-Walks are loops of joins between a frontier and the symmetrised edges; what was seen before is taken off by an anti join,
-so that a round holds each node once. Lineage is cut every few rounds. Rounds are bounded by the depth asked for.
+Walks are loops of joins between a frontier and the edges, once by their sources and once by their targets, so that edges
+are neither doubled nor shuffled for a small frontier: it is written each round, and Spark broadcasts it by its size. What
+was seen before is taken off by an anti join, so that a round holds each node once. Rounds are bounded by the depth asked for.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ from pyspark.sql import functions as F
 from ..schema import SENTINELS
 from ..sources.store import cut
 
-CUT_EVERY = 3
-
 
 def symmetrised(edges: DataFrame) -> DataFrame:
     """(source_id, target_id) in both directions, without repetitions."""
@@ -21,6 +20,13 @@ def symmetrised(edges: DataFrame) -> DataFrame:
     return there.unionByName(there.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))).distinct()
 
 
+def beyond(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The columns of frontier, and in `far` the other end of each edge at its `id`, in either direction; with repetitions."""
+    there = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("far")).join(frontier, "id")
+    back = edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("far")).join(frontier, "id")
+    return there.unionByName(back)
+
+
 def resolve_label(nodes: DataFrame, name: str) -> int:
     """The id of the node with this key, else the least id of those with this label. Raises ValueError if there is none."""
     hit = nodes.where((F.col("key") == name) | (F.col("label") == name)).orderBy(F.when(F.col("key") == name, 0).otherwise(1), "id").select("id").first()
@@ -31,13 +37,12 @@ def resolve_label(nodes: DataFrame, name: str) -> int:
 
 def reached(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(origin, id, hop) of what lies within so many hops of each origin, origins (hop 0) included; starts: origin."""
-    both = symmetrised(edges)
-    seen = frontier = starts.select("origin", F.col("origin").alias("id"), F.lit(0).alias("hop"))
+    seen = frontier = cut(starts.select("origin", F.col("origin").alias("id"), F.lit(0).alias("hop")), "frontier")
     for hop in range(1, hops + 1):
-        near = frontier.select("origin", F.col("id").alias("source_id")).join(both, "source_id").select("origin", F.col("target_id").alias("id")).distinct()
+        near = beyond(edges, frontier.select("origin", "id")).select("origin", F.col("far").alias("id")).distinct()
         frontier = near.join(seen.select("origin", "id"), ["origin", "id"], "left_anti").withColumn("hop", F.lit(hop))
-        if hop % CUT_EVERY == 0:
-            seen, frontier = cut(seen, "seen"), cut(frontier, "frontier")
+        if hop < hops:
+            frontier = cut(frontier, "frontier")
             if not frontier.limit(1).count():
                 break
         seen = seen.unionByName(frontier)
@@ -71,11 +76,11 @@ def graph_only(nodes: DataFrame, edges: DataFrame, name: str, depth: int = 2) ->
 def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, max_depth: int = 10) -> list[str] | None:
     """Labels along a shortest path, or None. Of equal ones that with the least ids from the end backwards."""
     a, b = resolve_label(nodes, start), resolve_label(nodes, end)
-    spark, both = nodes.sparkSession, cut(symmetrised(edges), "edges")
+    spark = nodes.sparkSession
     rounds = [spark.createDataFrame([(a, None)], "id long, parent long")]
     seen = rounds[0].select("id")
     while a != b and len(rounds) <= max_depth:
-        near = rounds[-1].select(F.col("id").alias("source_id")).join(both, "source_id").groupBy(F.col("target_id").alias("id")).agg(F.min("source_id").alias("parent"))
+        near = beyond(edges, rounds[-1].select("id")).groupBy(F.col("far").alias("id")).agg(F.min("id").alias("parent"))
         rounds.append(cut(near.join(seen, "id", "left_anti"), "path"))
         if not rounds[-1].limit(1).count():
             return None
