@@ -12,8 +12,11 @@ sorted directly, the others are induced by one scan over the buckets of the firs
 has a common prefix of `LENGTH` bytes with a neighbour, or belongs to a window that stands for several. What the sorter
 marks is then brought to all windows that are equal.
 An anchor with more than `SPLIT` distinct windows is dealt to as many groups as needed by a hash of each start's string:
-equal strings stay together and no window is dropped. Distinct windows that hold one shared string meet in one group, so
-the group of a string that stands in many different surroundings grows with their number.
+equal strings stay together and no window is dropped. A string that stands in many different surroundings makes its group
+large all the same. Such a group is dealt at random into parts of about `SPLIT` rows, each part marks what repeats within
+it and keeps one row of each distinct string, and so on until the group is small: a string that repeats in a part is marked
+there everywhere, and one that does not is the row that goes on, so no mark has to be brought back. No task holds more
+than some `MOST` rows of a group.
 
 A row is known by 128 bits of hashes of its doc_id and text, so that rows which share an id, or have none, keep apart;
 rows with the same id and text are alike in all results.
@@ -34,13 +37,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty
+from .common import small_or_shuffled, stored, table, text_or_empty
 
 LENGTH = 200
 GRAM = 32
 SPLIT = 2000
+#: Windows of an anchor that are compared as they are; beyond, its starts are dealt to groups of 2 * SPLIT on average.
+MOST = 4 * SPLIT
 #: Windows that occur more often than this, and than a quarter of a partition's mean, are joined by several tasks.
 LEAST_OFTEN = 1000
+#: Groups to deal anew that are broadcast: at most so many (24 bytes each); more are joined by a shuffle.
+LARGE_GROUPS = 1 << 18
 #: Starts of a text are taken in segments of so many.
 SEGMENT = 1 << 20
 #: Suffixes of small groups are sorted together up to so many bytes.
@@ -169,6 +176,11 @@ def repeated(parts: list[bytes], starts: list[int], length: int = LENGTH, own: l
     own: the only starts of each part that count, or None for all; a part may then stand in several groups.
     times: how many equal parts each one stands for.
     """
+    return compared(parts, starts, length, own, times)[0]
+
+
+def compared(parts: list[bytes], starts: list[int], length: int, own: list[list[int] | None] | None, times: list[int] | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """What `repeated` gives, and of each part the starts that come first among those of the same string."""
     text, order, owner = sorted_suffixes(parts, starts)
     base = np.r_[0, np.cumsum([len(x) + 1 for x in parts])]
     sa = np.asarray(order)
@@ -182,59 +194,91 @@ def repeated(parts: list[bytes], starts: list[int], length: int = LENGTH, own: l
         sa = sa[counts[sa]]
     places = sa.tolist()
     same = np.fromiter((text[a : a + length] == text[b : b + length] for a, b in zip(places, places[1:])), dtype=bool, count=max(0, len(places) - 1))
-    if len(sa):
-        often = np.r_[same, False] | np.r_[False, same]
-        hit = np.sort(sa[often if times is None else often | (np.asarray(times)[owner[sa]] > 1)])
-    else:
-        hit = sa
-    cuts = np.searchsorted(hit, base)
-    return [hit[cuts[k] : cuts[k + 1]] - base[k] for k in range(len(parts))]
+    often = (np.r_[same, False] | np.r_[False, same])[: len(sa)]
+    if times is not None:
+        often |= np.asarray(times)[owner[sa]] > 1
+
+    def by_part(found: np.ndarray) -> list[np.ndarray]:
+        found = np.sort(found)
+        cuts = np.searchsorted(found, base)
+        return [found[cuts[k] : cuts[k + 1]] - base[k] for k in range(len(parts))]
+
+    return by_part(sa[often]), by_part(sa[np.r_[True, ~same][: len(sa)]])
+
+
+ROW = [("h", pa.int64()), ("g", pa.int64()), ("w", pa.int64()), ("a", pa.int64()), ("starts", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("own", pa.list_(pa.int32()))]
+ROW_SCHEMA = "h bigint, g bigint, w bigint, a bigint, starts bigint, n bigint, data binary, own array<int>"
+
+
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(ROW)
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(columns, ROW)], names=[name for name, _ in ROW])
+
+
+def with_starts(h: int, g: int, w: int, a: int, starts: int, n: int, data: bytes, own: list[int]) -> list[tuple]:
+    """Rows for some starts of a window (from place a of it on): their strings, or all of it with them named, as is shorter."""
+    if len(own) * LENGTH < len(data):
+        return [(h, g, w, a + s, 1, n, data[s : s + LENGTH], None) for s in own]
+    return [(h, g, w, a, starts, n, data, own)]
 
 
 def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of an anchor that has many go to groups by their starts' strings; the starts that don't belong go as gaps."""
+    """Starts of an anchor that has many windows go to groups by their strings."""
     for b in batches:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[tuple] = []
         for h, groups, w, starts, n, data in zip(*(b.column(i).to_pylist() for i in range(6))):
-            if groups == 1:
-                own = {0: None}
-            else:
-                own = {}
-                for s in range(starts):
-                    own.setdefault(xxhash.xxh3_64_intdigest(data[s : s + LENGTH], 7) % groups, []).append(s)
+            own: dict[int, list[int]] = {}
+            for s in range(starts):
+                own.setdefault(xxhash.xxh3_64_intdigest(data[s : s + LENGTH], 7) % groups, []).append(s)
             for g, which in own.items():
-                for x, v in zip(out, (h, g, w, starts, n, data, which)):
-                    x.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["h", "g", "w", "starts", "n", "data", "own"])
+                out += with_starts(h, g, w, 0, starts, n, data, which)
+            if len(out) > 8000:
+                yield as_batch(out)
+                out = []
+        yield as_batch(out)
 
 
-def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, w, a, n) of repeated starts in windows that come sorted by group; groups are compared whole."""
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows that come sorted by h, g and, where there is one, deal: whole groups, some at a time."""
     held: list[tuple] = []
     size, last = 0, None
-
-    def flush() -> pa.RecordBatch:
-        hs, ws, first, count = [], [], [], []
-        found = repeated([x[4] for x in held], [x[2] for x in held], LENGTH, [x[5] for x in held], [x[3] for x in held])
-        for ((h, _), w, *_), starts in zip(held, found):
-            if len(starts):
-                for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    hs.append(h)
-                    ws.append(w)
-                    first.append(int(run[0]))
-                    count.append(len(run))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hs, ws, first, count)], names=["h", "w", "a", "n"])
-
     for b in batches:
-        for h, g, w, starts, n, data, own in zip(*(b.column(i).to_pylist() for i in range(7))):
-            if size > BATCH_BYTES and (h, g) != last:
-                yield flush()
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            group = row[:2] + row[len(ROW) :]
+            if size > BATCH_BYTES and group != last:
+                yield held
                 held, size = [], 0
-            held.append(((h, g), w, starts, n, data, own))
-            size, last = size + len(data), (h, g)
+            held.append(row)
+            size, last = size + len(row[6]), group
     if held:
-        yield flush()
+        yield held
+
+
+def runs_of(row: tuple, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(h, w, a, n) of a row's marked starts."""
+    if not len(starts):
+        return []
+    return [(row[0], row[2], row[3] + int(run[0]), len(run)) for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)]
+
+
+def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, w, a, n) of repeated starts in rows that come sorted by group; groups are compared whole."""
+    for held in whole_groups(batches):
+        found = repeated([x[6] for x in held], [x[4] for x in held], LENGTH, [x[7] for x in held], [x[5] for x in held])
+        runs = [run for row, starts in zip(held, found) for run in runs_of(row, starts)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*runs) if runs else [[]] * 4)], names=["h", "w", "a", "n"])
+
+
+def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of parts of groups, sorted by group and deal: marks, and one row of each distinct string. Marks have no data, and their n in starts."""
+    for held in whole_groups(batches):
+        found, first = compared([x[6] for x in held], [x[4] for x in held], LENGTH, [x[7] for x in held], [x[5] for x in held])
+        out: list[tuple] = []
+        for row, starts, kept in zip(held, found, first):
+            out += [(h, row[1], w, a, n, 0, None, None) for h, w, a, n in runs_of(row, starts)]
+            if len(kept):
+                out += with_starts(*row[:7], kept.tolist())
+        yield as_batch(out)
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +303,26 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (size, removed, spans)), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+def small_groups(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows whose groups have few, and the marks (h, w, a, n) that were found on the way there."""
+    settled: list[DataFrame] = []
+    before = None
+    while True:
+        large = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > MOST)
+        large = stored(large.select("h", "g", "size", F.ceil(F.col("size") / SPLIT).alias("parts")), "groups-large")
+        size = large.agg(F.sum("size")).first()[0] or 0
+        # What does not shrink has no string in many surroundings, so that its size is that of a group by a hash of strings.
+        if not size or (before is not None and size > 0.9 * before):
+            return rows, settled
+        before, columns = size, [name for name, _ in ROW]
+        few = small_or_shuffled(large, LARGE_GROUPS)
+        parts = rows.join(few, ["h", "g"]).select(*columns, F.pmod(F.xxhash64("w", "a", F.lit(len(settled))), F.col("parts")).alias("deal"))
+        parts = parts.repartition("h", "g", "deal").sortWithinPartitions("h", "g", "deal")
+        found = stored(parts.mapInArrow(thinned, ROW_SCHEMA), "groups-thinned")
+        settled.append(found.where("data is null").select("h", "w", "a", F.col("starts").alias("n")))
+        rows = rows.join(few, ["h", "g"], "left_anti").select(*columns).union(found.where("data is not null"))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """(r, t, a, n): runs of n starts from a on whose strings start elsewhere, too; docs: r, t, data."""
     found = stored(with_windows(docs), "windows")
@@ -267,15 +331,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     # Dealt evenly, so that the rows of a hot anchor don't stay in one file, of which a later join could split nothing.
     found = stored(found.join(often, "h", "left_semi").hint("rebalance"), "windows-shared")
     kinds = stored(found.groupBy("h", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r", "t", "at")).alias("one")), "windows-kinds")
-    many = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("many")).where(f"many > {SPLIT}")
-    groups = F.ceil(F.coalesce("many", F.lit(1)) / SPLIT).cast("long").alias("groups")
+    many = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.sum(F.expr("one.at & 255")).alias("sum")).where(f"many > {SPLIT}")
+    groups = F.expr(f"case when many is null then 1 when many <= {MOST} then ceil(many / {SPLIT}) else ceil(sum / {2 * SPLIT}) end").cast("long").alias("groups")
     one = kinds.join(stored(many, "anchors-split"), "h", "left").select("h", groups, "w", "n", F.col("one.r").alias("r"), F.col("one.t").alias("t"), F.col("one.at").alias("at"))
     starts = F.expr("at & 255")
     data = F.substring(F.col("data"), (F.expr("at >> 8") + 1).cast("int"), (starts + (LENGTH - 1)).cast("int"))
     texts = docs.dropDuplicates(["r", "t"]) if docs.groupBy("r", "t").count().where("count > 1").limit(1).count() else docs
-    one = one.join(texts, ["r", "t"]).select("h", "groups", "w", starts.alias("starts"), "n", data.alias("data"))
-    one = one.mapInArrow(dealt, "h bigint, g bigint, w bigint, starts bigint, n bigint, data binary, own array<int>")
-    marks = one.repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(marked, "h bigint, w bigint, a bigint, n bigint")
+    one = stored(one.join(texts, ["r", "t"]).select("h", "groups", "w", starts.alias("starts"), "n", data.alias("data")), "windows-compared")
+    few = one.where("groups = 1").select("h", F.lit(0).cast("long").alias("g"), "w", F.lit(0).cast("long").alias("a"), "starts", "n", "data", F.lit(None).cast("array<int>").alias("own"))
+    rows = stored(one.where("groups > 1").mapInArrow(dealt, ROW_SCHEMA), "windows-dealt")
+    rows, settled = small_groups(rows)
+    marks = few.union(rows).repartition("h", "g").sortWithinPartitions("h", "g").mapInArrow(marked, "h bigint, w bigint, a bigint, n bigint")
+    for more in settled:
+        marks = marks.union(more)
     # One row for each window with marks, so that a window is joined once.
     marks = stored(marks, "windows-marked").groupBy("h", "w").agg(F.collect_list(F.struct("a", "n")).alias("runs"))
     # Windows that occur often are dealt to several tasks; there are at most 4 a partition of them.

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
 from notequarry.llm import suffixes
 
@@ -96,3 +97,33 @@ def test_split_groups_and_segments_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "SPLIT", 3)
     monkeypatch.setattr(suffixes, "LEAST_OFTEN", 2)
     assert got(suffixes.deduplicated(documents(spark, rows))) == brute(rows)
+
+
+def test_a_string_in_many_surroundings_is_settled_in_parts(spark, monkeypatch):
+    """The passage is barely longer than a string, and each document puts it between other words: its group would hold all."""
+    shared = [prose(56, 50)[:205], prose(57, 50)[:200]]
+    rows = [(i, prose(30_000 + i, 12) + " " + (shared[0] if i % 4 else shared[1]) + prose(50_000 + i, 12)) for i in range(120)]
+    rows += [(200, rows[0][1]), (201, prose(58, 50)), (202, shared[1][1:])]
+    for name, value in (("SPLIT", 10), ("MOST", 20), ("LEAST_OFTEN", 2)):
+        monkeypatch.setattr(suffixes, name, value)
+    passes = []
+    small_groups = suffixes.small_groups
+    monkeypatch.setattr(suffixes, "small_groups", lambda rows: passes.append((rows, *small_groups(rows))) or passes[-1][1:])
+    assert got(suffixes.deduplicated(documents(spark, rows))) == brute(rows)
+    (before, after, settled), = passes
+
+    def holding(df, string):
+        return df.where(F.contains("data", F.lit(string.encode()))).groupBy("h", "g").count().agg(F.max("count")).first()[0] or 0
+
+    # A string of a passage is in 30 or 90 windows of its group; few of them are left to one task.
+    assert settled
+    for string in (shared[0][:200], shared[0][3:203], shared[1]):
+        assert holding(before, string) >= 30 and holding(after, string) <= 12
+
+
+def test_parts_keep_one_row_of_each_string():
+    a, b = prose(59, 50).encode()[:201], prose(60, 50).encode()[:200]
+    marks, kept = suffixes.compared([a, a[:200], b, a[1:]], [2, 1, 1, 1], 200, None, None)
+    assert [x.tolist() for x in marks] == [[0, 1], [0], [], [0]]
+    strings = [x[i : i + 200] for x, starts in zip([a, a[:200], b, a[1:]], kept) for i in starts]
+    assert sorted(strings) == sorted({a[:200], a[1:], b})
