@@ -93,6 +93,17 @@ def retried(f: Callable[[], T], attempts: int = 3, base: float = 2.0, sleep: Cal
     raise AssertionError
 
 
+def checked(embedder: Embedder, text: str = "check") -> str | None:
+    """What is wrong with an embedder, or None: it has to answer, with one finite vector of its dimension."""
+    try:
+        found = np.asarray(embedder.embed([text]), dtype=np.float64)
+    except Exception as error:  # noqa: BLE001
+        return f"the embedder does not answer: {error}"
+    if found.shape != (1, embedder.dimension):
+        return f"the embedder gave {found.shape}, not a vector of {embedder.dimension}"
+    return None if np.isfinite(found).all() else "the embedder gave numbers that are not finite"
+
+
 def cleaned(found: list[dict], least: float = 0.5) -> list[dict]:
     """Entities with a label and a score of `least` or more (missing: 0.5), the first of each label in any case; kind `concept` if missing."""
     out, seen = [], set()
