@@ -8,9 +8,11 @@ before training, then in proportion to how well each coded the training data. Co
 the estimate to the longest one that it met. The sum over a text of log10 of the mixed estimates is its score; -score /
 bytes * log2(10) is its code length per byte.
 
-Counts of all (context, byte) grams come from all training documents. Subtrees below a two-byte context are weighted in
-parallel, in two passes with the sums for shorter contexts (at most 65,280 rows, and 255) between them in the driver;
-the result is a table of log10 estimates of all grams of the corpus. Grams up to a bounded number, the most frequent
+Counts of all (context, byte) grams come from all training documents. Their tree is weighted from its leaves up, then
+estimates are mixed on the way down. Grams are dealt by three-byte contexts and read in order; a task holds the grams of
+one four-byte context (at most 65,536, whatever the corpus) and the nodes of one three-byte context (255) beyond a fixed
+number of rows. Nodes for three and two bytes are tables, those for one byte and none (65,280 and 255) are in the driver
+and broadcast. The result is a table of log10 estimates of all grams of the corpus. Grams up to a bounded number, the most frequent
 ones, are broadcast for scoring; what a document has besides is joined with the table by a shuffle, so every gram counts
 whatever the table's size. Words of the base are treated likewise.
 
@@ -40,6 +42,9 @@ GROUP_ROWS = 150_000
 PART_BYTES = 1 << 21
 LOG_HALF = float(np.log(0.5))
 NODES = 256
+#: How far a gram is shifted for the context of DEPTH - 2 bytes whose grams go to one task.
+SHARED = 8 * (DEPTH - 2)
+NODES_SCHEMA = "node bigint, zero double, one double, weight double, coded double"
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -142,15 +147,21 @@ def decisions(byte: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (1 << k) | (byte >> (8 - k)), byte >> (7 - k) & 1
 
 
+def node_rows(node: np.ndarray, zero: np.ndarray, one: np.ndarray, longer: np.ndarray) -> pa.RecordBatch:
+    """NODES_SCHEMA: nodes with the weight of their own estimate beside the longer contexts', and how well both coded."""
+    own = log_kt(zero, one)
+    weight = 1 / (1 + np.exp(np.clip(longer - own, -700, 700)))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (node, zero, one, weight, LOG_HALF + np.logaddexp(own, longer))], names=["node", "zero", "one", "weight", "coded"])
+
+
 class Subtrees:
-    """The nodes for contexts of 2 to DEPTH bytes over grams of whole two-byte contexts."""
+    """The nodes for contexts of DEPTH and DEPTH - 1 bytes over grams of whole contexts of DEPTH - 1 bytes. Nodes that
+    only held-out grams have are there with no counts, which leaves all sums as they are."""
 
     def __init__(self, g: np.ndarray, c: np.ndarray):
-        met = c > 0
-        g, c = g[met], c[met]
         self.levels: dict[int, tuple[np.ndarray, ...]] = {}
         below = None
-        for depth in range(DEPTH, 1, -1):
+        for depth in (DEPTH, DEPTH - 1):
             context = g >> (8 * (DEPTH + 1 - depth))
             pair, n = summed(context << 8 | g & 255, c)
             keys, zeros, ones = [], [], []
@@ -172,13 +183,14 @@ class Subtrees:
             below = (node, coded)
         self.top = below
 
-    def for_last_byte(self) -> tuple[np.ndarray, ...]:
-        """(last byte << 8 | place, zeros, ones, coded) summed over the longer contexts."""
-        node, zero, one, _ = self.levels[2]
+    def for_shorter(self) -> tuple[np.ndarray, ...]:
+        """(context of DEPTH - 2 bytes << 8 | place, zeros, ones, coded) summed over the longer contexts."""
+        node, zero, one, _ = self.levels[DEPTH - 1]
         return summed((node >> 16) << 8 | node & 255, zero, one, self.top[1])
 
-    def estimates(self, g: np.ndarray, short: tuple[np.ndarray, ...]) -> np.ndarray:
-        """log10 of each gram's probability; short: ones' and all counts, and weights, for contexts of 1 and 0 bytes."""
+    def estimates(self, g: np.ndarray, node_3: np.ndarray, of_node: np.ndarray, short: tuple[np.ndarray, ...]) -> np.ndarray:
+        """log10 of each gram's probability. of_node: ones' and all counts, and weights, of the nodes node_3 for contexts of
+        DEPTH - 2 bytes, then of those for DEPTH - 3; short: the same for contexts of 1 and 0 bytes."""
         out = np.zeros(len(g))
         ones_1, all_1, weight_1, ones_0, all_0, weight_0 = short
         for place, bit in decisions(g & 255):
@@ -189,12 +201,14 @@ class Subtrees:
                 p[:] = np.where(found, np.where(known, weight * own + (1 - weight) * p, own), p)
                 known |= found
 
-            for depth in range(DEPTH, 1, -1):
+            for depth in (DEPTH, DEPTH - 1):
                 node, zero, one, weight = self.levels[depth]
-                if len(node):
-                    key = (g >> (8 * (DEPTH + 1 - depth))) << 8 | place
-                    at = np.minimum(np.searchsorted(node, key), len(node) - 1)
-                    mix(node[at] == key, one[at], (zero + one)[at], weight[at])
+                at = np.searchsorted(node, (g >> (8 * (DEPTH + 1 - depth))) << 8 | place)
+                every = (zero + one)[at]
+                mix(every > 0, one[at], every, weight[at])
+            at = np.searchsorted(node_3, (g >> SHARED) << 8 | place)
+            for one, every, weight in (of_node[:3], of_node[3:]):
+                mix(every[at] > 0, one[at], every[at], weight[at])
             key = (g >> (8 * DEPTH)) << 8 | place
             mix(all_1[key] > 0, ones_1[key], all_1[key], weight_1[key])
             mix(np.ones(len(g), dtype=bool), ones_0[place], all_0[place], weight_0[place])
@@ -202,32 +216,55 @@ class Subtrees:
         return out
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Grams and counts that come in order, cut only between two-byte contexts."""
-    g, c = np.empty(0, np.int64), np.empty(0, np.int64)
+def whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of their first column, together where they agree in it but for its last 16 bits, so at most 65,536
+    grams beyond `least`."""
+    held, size = [], 0
     for b in batches:
-        g, c = np.concatenate([g, b.column(0).to_numpy()]), np.concatenate([c, b.column(1).to_numpy()])
-        if len(g) > GROUP_ROWS:
-            cut = int(np.searchsorted(g >> (8 * (DEPTH - 1)), g[-1] >> (8 * (DEPTH - 1))))
+        held.append(b)
+        size += b.num_rows
+        if size > least:
+            b = pa.concat_batches(held)
+            key = b.column(0).to_numpy() >> 16
+            cut = int(np.searchsorted(key, key[-1]))
             if cut:
-                yield g[:cut], c[:cut]
-                g, c = g[cut:], c[cut:]
-    if len(g):
-        yield g, c
+                yield b.slice(0, cut)
+                b = b.slice(cut)
+            held, size = [b], b.num_rows
+    if size:
+        yield pa.concat_batches(held)
 
 
-def model(found: DataFrame) -> DataFrame:
+def model(found: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(g, c, lp): log10 estimates of all grams; found: g, c, distinct."""
     spark = found.sparkSession
-    rows = found.select("g", "c").repartition(F.shiftright("g", 8 * (DEPTH - 1))).sortWithinPartitions("g")
+    grams_ = found.select("g", "c")
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, c in whole_groups(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in Subtrees(g, c).for_last_byte()], names=["node", "zero", "one", "coded"])
+        unfinished = (np.empty(0, np.int64), *(np.empty(0) for _ in range(3)))  # of the last context: at most 255
+        for b in whole_groups(batches, group_rows):
+            g = b.column(0).to_numpy()
+            nodes = Subtrees(g, b.column(1).to_numpy()).for_shorter()
+            nodes = summed(*(np.concatenate(x) for x in zip(unfinished, nodes)))
+            last = nodes[0] >> 8 == g[-1] >> SHARED
+            unfinished = tuple(x[last] for x in nodes)
+            yield node_rows(*(x[~last] for x in nodes))
+        yield node_rows(*unfinished)
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield node_rows(*(x.to_numpy() for x in b.columns))
 
-    sums = rows.mapInArrow(up, "node bigint, zero double, one double, coded double").groupBy("node").agg(F.sum("zero"), F.sum("one"), F.sum("coded"))
+    def of_shorter(nodes: DataFrame) -> DataFrame:
+        return nodes.groupBy(shorter(F.col("node")).alias("node")).agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"), F.sum("coded").alias("longer"))
+
+    def shorter(node):
+        return F.shiftleft(F.shiftright(node, 16), 8).bitwiseOR(node.bitwiseAND(255))
+
+    nodes_3 = stored(grams_.repartition(F.shiftright("g", SHARED)).sortWithinPartitions("g").mapInArrow(up, NODES_SCHEMA), "lm-nodes")
+    nodes_2 = stored(of_shorter(nodes_3).mapInArrow(weighed, NODES_SCHEMA), "lm-nodes")
     zero, one, longer = (np.zeros(256 * NODES) for _ in range(3))
-    for node, *x in sums.collect():  # at most 256 * 255
+    for node, *x in of_shorter(nodes_2).collect():  # at most 256 * 255
         zero[node], one[node], longer[node] = x
     own = log_kt(zero, one)
     coded = np.where(zero + one > 0, LOG_HALF + np.logaddexp(own, longer), 0).reshape(256, NODES)
@@ -236,9 +273,31 @@ def model(found: DataFrame) -> DataFrame:
     weight_0 = 1 / (1 + np.exp(np.clip(coded.sum(axis=0) - log_kt(zero_0, one_0), -700, 700)))
     short = spark.sparkContext.broadcast((one, zero + one, weight_1, one_0, zero_0 + one_0, weight_0))
 
+    # Nodes come before the grams of their context: k is the context, 0 for a node or 1 for a gram, and the rest in 24 bits.
+    a, b = nodes_3.alias("a"), nodes_2.alias("b")
+    numbers = [x for t in "ab" for x in (F.col(f"{t}.one"), F.col(f"{t}.zero") + F.col(f"{t}.one"), F.col(f"{t}.weight"))]
+    node = F.col("a.node")
+    nodes = a.join(b, shorter(node) == F.col("b.node")).select(
+        F.shiftleft(F.shiftright(node, 8), 25).bitwiseOR(node.bitwiseAND(255)).alias("k"), F.lit(0).cast("long").alias("c"), F.array(*numbers).alias("v"))
+    g = F.col("g")
+    rows = grams_.select(
+        F.shiftleft(F.shiftright(g, SHARED), 25).bitwiseOR(g.bitwiseAND(0xFFFFFF)).bitwiseOR(F.lit(1 << 24)).alias("k"), "c", F.lit(None).cast("array<double>").alias("v"))
+    rows = rows.unionByName(nodes).repartition(F.shiftright("k", 25)).sortWithinPartitions("k")
+
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, c in whole_groups(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(Subtrees(g, c).estimates(g, short.value))], names=["g", "c", "lp"])
+        node, of_node = np.empty(0, np.int64), np.empty((6, 0))
+        for b in whole_groups(batches, group_rows):
+            k, c = b.column(0).to_numpy(), b.column(1).to_numpy()
+            is_gram = (k >> 24 & 1).astype(bool)
+            new = k[~is_gram]
+            node = np.r_[node, new >> 25 << 8 | new & 255]
+            of_node = np.hstack([of_node, b.column(2).flatten().to_numpy().reshape(-1, 6).T])
+            g, c = k[is_gram], c[is_gram]
+            g = g >> 25 << SHARED | g & 0xFFFFFF
+            if len(g):
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(Subtrees(g, c).estimates(g, node, of_node, short.value))], names=["g", "c", "lp"])
+            last = node >> 8 == k[-1] >> 25
+            node, of_node = node[last], of_node[:, last]
 
     return stored(rows.mapInArrow(down, "g bigint, c bigint, lp double"), "lm-model")
 
@@ -289,12 +348,12 @@ def most_frequent(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
     return df.where(F.log2(F.col("c") + 1).cast("int") >= least), n == sum(by.values())
 
 
-def scored(docs: DataFrame, head_grams: int = HEAD_GRAMS, head_words: int = HEAD_WORDS) -> DataFrame:
+def scored(docs: DataFrame, head_grams: int = HEAD_GRAMS, head_words: int = HEAD_WORDS, group_rows: int = GROUP_ROWS) -> DataFrame:
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_FOLD, F.lit(False))
     docs = docs.select("doc_id", held_out.alias("held_out"), text_or_empty().alias("text"))
     found = docs.select("held_out", "text").mapInArrow(counted_grams, "g bigint, c bigint")
-    lp = model(stored(found.groupBy("g").agg(F.sum("c").alias("c")), "lm-grams"))
+    lp = model(stored(found.groupBy("g").agg(F.sum("c").alias("c")), "lm-grams"), group_rows)
     training = docs.where("not held_out")
     words = stored(training.select("text").mapInArrow(counted_words, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     ends = training.count()

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from notequarry.llm import lm
@@ -82,10 +83,10 @@ def expected(rows):
 ROWS = [r for r in odd_rows() if r[0] != 8] + [(100 + i, prose(i, 40)) for i in range(15)]
 
 
-@pytest.mark.parametrize("grams, words", [(1 << 21, 1 << 18), (300, 20), (0, 0)])
-def test_scores_against_the_book(spark, grams, words):
+@pytest.mark.parametrize("grams, words, group_rows", [(1 << 21, 1 << 18, 150_000), (300, 20, 40), (0, 0, 0)])
+def test_scores_against_the_book(spark, grams, words, group_rows):
     for rows in (ROWS, [(9, "a b")], [(i, "x y z") for i in range(40) if held_out(i)]):
-        got = lm.scored(documents(spark, rows).repartition(3), grams, words).collect()
+        got = lm.scored(documents(spark, rows).repartition(3), grams, words, group_rows).collect()
         found = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]), r["base_score"], r["score"]) for r in got)
         for a, b in zip(found, expected(rows), strict=True):
             assert a[0] == b[0] and a[1:] == pytest.approx(b[1:], rel=1e-9)
@@ -95,6 +96,15 @@ def test_empty_table(spark):
     assert lm.scored(documents(spark, [])).count() == 0
 
 
+def test_groups_stay_whole_and_bounded():
+    k = np.sort(np.random.default_rng(2).integers(0, 1 << 22, 20_000))
+    rows = pa.RecordBatch.from_arrays([pa.array(k)], names=["k"])
+    parts = [p.column(0).to_numpy() for p in lm.whole_groups((rows.slice(i, 70) for i in range(0, len(k), 70)), 300)]
+    assert np.concatenate(parts).tolist() == k.tolist()
+    assert all(a[-1] >> 16 < b[0] >> 16 for a, b in zip(parts, parts[1:]))
+    assert max(map(len, parts)) <= 300 + 70 + np.bincount(k >> 16).max()
+
+
 def test_grams_and_lookups():
     texts = [b"abc", b"", "é".encode() * 3]
     keys, at = lm.grams(texts)
