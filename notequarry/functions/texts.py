@@ -25,7 +25,8 @@ def chunk_ref(path: Column, header: Column) -> Column:
 
 
 def embed_text(header: Column, text: Column) -> Column:
-    return F.when(header == "", text).otherwise(F.concat_ws("\n", header, text))
+    """The text below its header, if it has one; null without a text."""
+    return F.when(F.coalesce(header, F.lit("")) == "", text).otherwise(F.concat(header, F.lit("\n"), text))
 
 
 def slug(text: str) -> str:

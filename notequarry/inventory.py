@@ -184,9 +184,9 @@ def edges_by_key(spark, sf_dir):
 @query("select doc_id, source || chr(10) || text as embedded, case when regexp_matches(text, '[\\p{L}\\p{N}]') then 1.0 else 0.0 end as length from documents where source <> ''")
 def embedded_texts(spark, sf_dir):
     """Header and text as what is embedded, and the length of its vector without the header: one, or zero without words."""
-    rows = t(spark, sf_dir, "documents").where("source <> ''").select("doc_id", "text", texts.embed_text(F.col("source"), F.col("text")).alias("embedded"))
-    rows = entities.embed(rows, F.col("text"), HashingEmbedder(4096))
-    return rows.select("doc_id", "embedded", F.round(vectors.norm(F.col("embedding")), 3).alias("length"))
+    rows = t(spark, sf_dir, "documents").where("source <> ''").select("doc_id", "source", "text")
+    rows = entities.embed(rows, F.coalesce("text", F.lit("")), HashingEmbedder(4096))
+    return rows.select("doc_id", texts.embed_text(F.col("source"), F.col("text")).alias("embedded"), F.round(vectors.norm(F.col("embedding")), 3).alias("length"))
 
 
 NAMES = (("un", "article"), ("The", "article"), ("erst", "word"))

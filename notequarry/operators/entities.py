@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from ..functions.texts import chunk_ref, directory, node_key, note_key
 from ..plugins import Embedder, Extractor, cleaned, retried
@@ -27,19 +29,47 @@ def extract(chunks: DataFrame, extractor: Extractor) -> DataFrame:
     return chunks.withColumn("entities", run("text"))
 
 
-def embed(rows: DataFrame, text: Column, embedder: Embedder, column: str = "embedding") -> DataFrame:
-    """rows with a vector of a text; a text that fails three times has none."""
+def vectors(embedder: Embedder, texts: list[str | None]) -> list[np.ndarray | None]:
+    """A vector of each text. Texts that fail together are tried again by halves, so that only those that fail alone have none; so have nulls."""
+    out: list[np.ndarray | None] = [None] * len(texts)
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            try:
-                vectors = retried(lambda: np.asarray(embedder.embed(list(texts)), dtype=np.float32))
-                yield pd.Series(list(vectors))
-            except Exception:  # noqa: BLE001  chunks stay, without vectors
-                yield pd.Series([None] * len(texts), dtype=object)
+    def once(at: list[int]) -> None:
+        for i, v in zip(at, np.asarray(embedder.embed([texts[i] for i in at]), dtype=np.float32), strict=True):
+            out[i] = v
+
+    def halved(at: list[int], attempts: int) -> None:
+        try:
+            retried(lambda: once(at), attempts)
+        except Exception:  # noqa: BLE001  rows stay, without vectors
+            for i in at:
+                out[i] = None
+            if len(at) > 1:
+                halved(at[: len(at) // 2], 1)
+                halved(at[len(at) // 2 :], 1)
+
+    if known := [i for i, t in enumerate(texts) if t is not None]:
+        halved(known, 3)
+    return out
 
-    return rows.withColumn(column, run(text))
+
+#: Fixed value: the texts that an embedder gets at once, and the vectors that a batch holds.
+TEXTS_AT_ONCE = 256
+
+
+def embed(rows: DataFrame, text: Column, embedder: Embedder, column: str = "embedding") -> DataFrame:
+    """rows with a vector of a text; a text that fails three times has none, nor has a null."""
+    kept = [f for f in rows.schema.fields if f.name != column]
+    names = [f.name for f in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                part = whole.slice(at, TEXTS_AT_ONCE)
+                found = pa.array(vectors(embedder, part.column(len(names)).to_pylist()), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], found], names=[*names, column])
+
+    put = StructType([*kept, StructField(column, ArrayType(FloatType()))])
+    return rows.select(*(F.col(f"`{n}`") for n in names), text.alias("_text")).mapInArrow(run, put)
 
 
 def raw_entities(found: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:

@@ -1,3 +1,5 @@
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +163,47 @@ def test_plugin_columns(spark):
     assert [r["embedding"] for r in entities.embed(df.limit(1), F.col("text"), Broken()).collect()] == [None]
 
 
+def cancelling(dimension):
+    """Two words that a hashing embedder puts at one place with opposite signs."""
+    embedder, seen = plugins.HashingEmbedder(dimension), {}
+    for i in range(100_000):
+        row = embedder.embed([f"w{i}"])[0]
+        at = int(np.flatnonzero(row)[0])
+        if (at, -row[at]) in seen:
+            return f"{seen[at, -row[at]]} w{i}"
+        seen[at, row[at]] = f"w{i}"
+
+
+def test_one_text_does_not_take_the_vectors_of_others(spark):
+    texts = [f"text {i}" for i in range(700)] + ["bad", None, "", cancelling(16)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i long, text string").coalesce(1)
+    got = {r["i"]: r["embedding"] for r in entities.embed(df, F.col("text"), Picky()).collect()}
+    assert [i for i in range(704) if got[i] is None] == [700, 701] and not any(got[702]) and any(got[703])
+    assert got[5] == plugins.HashingEmbedder(16).embed(["text 5"])[0].tolist()
+
+
+class Picky(plugins.HashingEmbedder):
+    """Fails by a bad text, a null, and more than 256 at once."""
+
+    def __init__(self):
+        super().__init__(16)
+
+    def embed(self, texts):
+        if "bad" in texts or len(texts) > 256:
+            raise MemoryError
+        return super().embed(texts)
+
+
+def test_embedded_texts_of_odd_documents(spark, tmp_path):
+    rows = [(1, "s", "one two"), (2, "s", None), (3, "s", ""), (4, "s", "-- _"), (5, "s", cancelling(4096)), (6, "", "gone"), (7, None, "gone"), (8, "s", f"{cancelling(4096)}\n" * 3)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["embedded_texts"](spark, str(tmp_path)).select("doc_id", "embedded", "length").collect()
+    with duckdb.connect() as db:
+        db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        expected = db.execute(catalog.ORACLES["embedded_texts"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted((a, b, float(c)) for a, b, c in expected)
+
+
 class Broken:
     dimension = 2
 
