@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from notequarry.operators import community, graph
@@ -124,6 +125,75 @@ def test_leiden_finds_two_clusters_and_never_loses_quality():
         assert scores == sorted(scores) and scores[0] >= alone - 1e-9
 
 
+def test_no_single_move_gains_after_many_at_once():
+    rng = np.random.default_rng(3)
+    for low, resolution in ((0.0, 0.3), (0.0, 0.05), (-0.3, 0.1)):
+        n, (a, b) = 60, rng.integers(0, 60, (2, 300))
+        a, b = a[a != b], b[a != b]
+        w = rng.uniform(low, 1, len(a))
+        g = community.Linked(n, np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]))
+        size, of = np.ones(n), np.arange(n)
+        community.moved(g, size, of, resolution)
+        weights: dict = {}
+        for x, y, z in zip(a.tolist(), b.tolist(), w.tolist()):
+            weights[x, y] = weights.get((x, y), 0) + z
+        best = community.quality(weights, dict(enumerate(of.tolist())), resolution)
+        for v in range(n):
+            for c in set(of[g.far[g.start[v] : g.start[v + 1]]].tolist()):
+                assert community.quality(weights, dict(enumerate(of.tolist())) | {v: c}, resolution) <= best + 1e-6
+
+
+def test_components_worked_on_together_are_as_alone():
+    rng = np.random.default_rng(4)
+    parts = [(rng.integers(k * 100, k * 100 + n, (2, 4 * n)), rng.random(4 * n)) for k, n in enumerate((3, 40, 90, 12))]
+    rows = [np.concatenate(x, axis=-1) for x in zip(*parts)]
+    component = np.repeat(np.arange(4) * 7, [len(w) for _, w in parts])
+    link = rows[0][0] != rows[0][1]
+    together = {(c, k, v): m for found in community.by_component(component[link], *rows[0][:, link], rows[1][link], 0.2) for c, k, v, m in zip(*(x.tolist() for x in found))}
+    alone = {(7 * i, k, v): m for i, ((a, b), w) in enumerate(parts) for k, level in enumerate(community.leiden(list(zip(a.tolist(), b.tolist(), w.tolist())), 0.2)) for v, m in level.items()}
+    assert together == alone and len({k for _, k, _ in alone}) > 1
+
+
+def test_a_hub_takes_many_at_once(monkeypatch):
+    rounds, n = [], 20_000
+    monkeypatch.setattr(community, "wishes", lambda *args, f=community.wishes: rounds.append(1) or f(*args))
+    found = community.leiden([(0, i, 1.0) for i in range(1, n)], 1e-6)
+    assert set(found[-1].values()) == {0} and len(rounds) < 30
+
+
+def test_links_of_a_task_become_a_forest():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 400, (2, 3000)) * 1_000_000_007
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 500]) for x in (a, b)], names=["source_id", "target_id"]) for i in range(0, 3000, 500)]
+    rows = [r for out in graph.spanning(iter(batches)) for r in zip(*(c.to_pylist() for c in out.columns))]
+    assert len(rows) < len(set(a) | set(b)) and rows == sorted(rows)
+
+    def groups(links):
+        of = {}
+        for x, y in links:
+            old, new = of.get(x, x), of.get(y, y)
+            of |= {x: old, y: new}
+            of = {v: min(old, new) if c in (old, new) else c for v, c in of.items()}
+        return {v: c for v, c in of.items() if v != c}
+
+    assert groups(rows) == groups(zip(a.tolist(), b.tolist())) == dict(rows)
+
+
+def test_levels_are_found_once(spark):
+    """What the communities are read from is stored: the search was in the plan several times, and ran as often."""
+    n = nodes(spark, [(i, f"entity_{i}", "language") for i in range(1, 7)])
+    e = edges(spark, [(a, b, "co_occurs_with", w) for a, b, w in TWO])
+    plan = community.detect(n, e, 0.5)._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_missing_weights_and_loops_count_nothing(spark):
+    e = spark.createDataFrame([(1, 2, 0.9), (2, 1, 0.4), (2, 3, None), (3, 3, 5.0), (4, 4, 1.0)], "source_id long, target_id long, weight double")
+    assert sorted(map(tuple, community.memberships(e, 0.5).collect())) == [(0, 1, 1), (0, 2, 1), (0, 3, 3)]
+
+
 def test_detection(spark):
     n = nodes(spark, [(i, f"entity_{i}", "language") for i in range(1, 7)] + [(10, "N", "note"), (11, "T", "tag")])
     e = edges(spark, [(a, b, "co_occurs_with", w) for a, b, w in TWO] + [(1, 10, "mentioned_in", 0.3)])
