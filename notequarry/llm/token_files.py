@@ -63,7 +63,7 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
 class Shard:
     """Reads a shard in place."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | memoryview):
         if data[:4] != MAGIC:
             raise ValueError("not a shard of token ids")
         docs, self.n_ids, n_levels = struct.unpack_from("<qqq", data, 4)
@@ -164,8 +164,8 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, seq, data in zip(*(b.column(i).to_pylist() for i in range(3))):
-                s = Shard(data)
+            for part, seq, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                s = Shard(memoryview(data.as_buffer()))
                 n = len(s.doc_ids)
                 whole, cuts = s.all().astype("<u4", copy=False), s.offsets.tolist()
                 sums = [zlib.crc32(whole[a:e]) for a, e in zip(cuts, cuts[1:])]

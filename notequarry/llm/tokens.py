@@ -10,6 +10,7 @@ special tokens' strings, or under a file of another kind go to the library as th
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 from functools import lru_cache
@@ -26,9 +27,21 @@ BEYOND = "[^\t\n\r\x20-\x7e¡-ɏ]"
 BLANKS = "[\t\n\r ][\t\n\r ]"
 ALNUM = np.array([chr(i).isalnum() for i in range(128)] + [False] * 128)
 #: Bytes of text encoded at a time.
-PART_BYTES = 10 << 20
+PART_BYTES = 7 << 20
 #: Chunks kept, in two generations, and pieces in a generation.
 CACHE = 500_000
+#: What the library gets at a time, as it takes some hundred bytes for each of them: code points (or one text), and words.
+CALL_CHARS, CALL_WORDS = 1 << 18, 1 << 14
+#: Chunks whose ids are put in place at a time.
+CALL_ROWS = 1 << 18
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
+
+def release() -> None:
+    """Gives freed memory back, of Arrow and, where it is glibc, of the C library."""
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -59,8 +72,15 @@ class Encoder:
         self.blank = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         self.blank[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of each text, as uint32."""
+        out, first, size = [], 0, 0
+        for k, t in enumerate(texts, 1):
+            size += len(t)
+            if size > CALL_CHARS or k - first >= CALL_WORDS or k == len(texts):
+                out += [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts[first:k], add_special_tokens=False)]
+                first, size = k, 0
+        return out
 
     def of_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, by its pieces."""
@@ -73,7 +93,7 @@ class Encoder:
             young.update(known)
             if len(missing) > len(known):
                 new = [p for p in missing if p not in known]
-                young.update((p, np.array(x, dtype=np.uint32).tobytes()) for p, x in zip(new, self.whole(new)))
+                young.update(zip(new, self.whole(new)))
         return [young[p[0]] if len(p) == 1 else b"".join(map(young.__getitem__, p)) for p in lists]
 
     def of_chunks(self, chunks: list[bytes]) -> list[bytes]:
@@ -89,14 +109,15 @@ class Encoder:
             texts = [("\n" + t[1:] if t[:1] == "\1" else " " + t) for t in map(bytes.decode, new)]
             words = [(c, t) for c, t in zip(new, texts) if t[1:].isalpha() and t[0] == " "]
             # Words are pieces: the library splits a text of them before each blank.
-            ids = np.array(self.whole(["".join([t for _, t in words])])[0], dtype=np.uint32)
-            cuts = np.flatnonzero(self.blank[ids])
-            if len(cuts) == len(words):
-                data, bounds = ids.tobytes(), (4 * np.r_[cuts, len(ids)]).tolist()
-                self.chunks.update((c, data[a:b]) for (c, _), a, b in zip(words, bounds, bounds[1:]))
-                rest = [(c, t) for c, t in zip(new, texts) if c not in self.chunks]
-            else:
-                rest = list(zip(new, texts))
+            for i in range(0, len(words), CALL_WORDS):
+                some = words[i : i + CALL_WORDS]
+                data = self.whole(["".join([t for _, t in some])])[0]
+                ids = np.frombuffer(data, dtype=np.uint32)
+                cuts = np.flatnonzero(self.blank[ids])
+                if len(cuts) == len(some):
+                    bounds = (4 * np.r_[cuts, len(ids)]).tolist()
+                    self.chunks.update((c, data[a:b]) for (c, _), a, b in zip(some, bounds, bounds[1:]))
+            rest = [(c, t) for c, t in zip(new, texts) if c not in self.chunks]
             self.chunks.update(zip((c for c, _ in rest), self.of_texts([t for _, t in rest])))
             found = list(map(self.chunks.__getitem__, chunks))
         return found
@@ -109,19 +130,23 @@ class Encoder:
             odd = pc.or_(odd, pc.match_substring(texts, special))
         tight = pc.and_(pc.invert(odd), pc.match_substring_regex(texts, BLANKS))
         odd, tight = (np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (odd, tight))
-        single = [np.array(x, dtype=np.uint32).tobytes() for x in self.whole(texts.take(pa.array(odd)).to_pylist())]
+        single = self.whole(texts.take(pa.array(odd)).to_pylist())
         single += self.of_texts(texts.take(pa.array(tight)).to_pylist())
         whole = np.r_[odd, tight]
         rest = np.setdiff1d(np.arange(len(texts)), whole)
+        inner = texts.take(pa.array(rest))
+        first = [t.split(" ", 1)[0].split("\n", 1)[0] for t in inner.to_pylist()]
         # A line's end becomes a blank and a sign for it, so that what follows is a chunk by itself.
-        split = pc.split_pattern(pc.replace_substring(texts.take(pa.array(rest)), "\n", " \1"), " ")
-        begin = split.offsets.to_numpy()
-        chunks = split.values.cast(pa.large_binary())
+        split = pc.split_pattern(pc.replace_substring(inner, "\n", " \1"), " ")
+        begin = split.offsets.to_numpy().copy()
+        distinct = split.values.cast(pa.large_binary()).dictionary_encode()
+        del inner, split
+        which, chunks = distinct.indices.to_numpy(), distinct.dictionary
         mark = self.marks(chunks)
         stems = pc.if_else(pa.array(mark > 0), pc.binary_slice(chunks, 0, -1), chunks).dictionary_encode()
         parts = self.of_chunks(stems.dictionary.to_pylist())
-        number = stems.indices.to_numpy().astype(np.int32)
-        first = [t.split(" ", 1)[0].split("\n", 1)[0] for t in texts.take(pa.array(rest)).to_pylist()]
+        number, mark = stems.indices.to_numpy().astype(np.int32)[which], mark[which]
+        del distinct, which, chunks, stems
         number[begin[:-1]] = len(parts) + np.arange(len(rest))
         mark[begin[:-1]] = 0
         parts += self.of_texts(first)
@@ -139,17 +164,23 @@ class Encoder:
         # are 1 but at the rows' first ids.
         flat = np.frombuffer(b"".join([*parts, bytes(4)]), dtype=np.uint32)
         sizes = np.fromiter(map(len, parts), dtype=np.int32, count=len(parts)) // 4
-        at = np.cumsum(sizes) - sizes
+        del number, mark, split_up, parts, single
+        at = (np.cumsum(sizes) - sizes).astype(np.int32)
         count = sizes[row] + (marked > 0)
         place = np.r_[0, np.cumsum(count)]
-        some = np.flatnonzero(count)
-        first_at, step = at[row[some]].astype(np.int32), np.ones(place[-1], dtype=np.int32)
-        step[place[some]] = np.diff(first_at, prepend=np.int32(0)) - np.r_[0, count[some][:-1] - 1].astype(np.int32)
-        np.cumsum(step, out=step)
-        ids = flat[step]
+        ids = np.empty(place[-1], dtype=np.uint32)
+        for i in range(0, len(row), CALL_ROWS):
+            own, most = count[i : i + CALL_ROWS], place[min(i + CALL_ROWS, len(row))]
+            some = np.flatnonzero(own)
+            step = np.ones(most - place[i], dtype=np.int32)
+            step[place[i + some] - place[i]] = np.diff(at[row[i + some]], prepend=np.int32(0)) - np.r_[0, own[some] - 1][: len(some)].astype(np.int32)
+            np.cumsum(step, out=step)
+            ids[place[i] : most] = flat[step]
         ids[place[1:][marked > 0] - 1] = marked[marked > 0]
-        pa.default_memory_pool().release_unused()
-        return ids, np.r_[0, place[ends]]
+        ends = np.r_[0, place[ends]]
+        del flat, row, marked, count, place
+        release()
+        return ids, ends
 
     def marks(self, chunks: pa.Array) -> np.ndarray:
         """The id of the comma or full stop at the end of each chunk, if it follows a letter or digit and so is a piece; else 0."""
