@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than blank, \t, \n, \v, \f and \r.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +47,13 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def release() -> None:
+    """Gives freed memory back, of Arrow and, where it is glibc, of the C library: a Python worker stays for later stages."""
+    pa.default_memory_pool().release_unused()
+    if TRIM:
+        TRIM(0)
+
+
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if a count proves that it has at most so many rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

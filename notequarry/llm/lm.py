@@ -30,16 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty
+from .common import release, stored, table, text_or_empty
 
 DEPTH = 5
 END = 0xFF
 FOLDS, HELD_FOLD = 7, 2
 #: The most frequent grams and words that are broadcast: at most so many (16 bytes, and a word's length, each).
 HEAD_GRAMS, HEAD_WORDS = 1 << 21, 1 << 18
-HELD_ROWS = 1_500_000
-GROUP_ROWS = 150_000
-PART_BYTES = 1 << 21
+#: What a Python worker holds at a time: grams and words counted, grams of a part of the tree, and bytes of text (or one
+#: text), of which each takes some 50 bytes of arrays.
+HELD_ROWS, HELD_WORDS = 1_500_000, 1 << 18
+GROUP_ROWS = 75_000
+PART_BYTES = 1 << 19
 LOG_HALF = float(np.log(0.5))
 NODES = 256
 #: How far a gram is shifted for the context of DEPTH - 2 bytes whose grams go to one task.
@@ -73,9 +75,10 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def in_texts(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first, UTF-8 bytes) of runs of texts that end with the one that makes them more than PART_BYTES."""
     held, size, first = [], 0, 0
-    for k, t in enumerate(column.to_pylist()):
-        held.append(t.encode("utf-8", "surrogatepass"))
+    for k, t in enumerate(column.cast(pa.binary())):
+        held.append(t.as_py())
         size += len(held[-1])
         if size > PART_BYTES:
             yield first, held
@@ -110,6 +113,8 @@ def counted_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     held, size = [], 0
     if held:
         yield from out(*summed(*(np.concatenate(x) for x in zip(*held))))
+        held.clear()
+    release()
 
 
 def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,12 +126,15 @@ def counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 100_000], pa.binary()), pa.array(counts[i : i + 100_000], pa.int64())], names=["word", "c"])
 
     for b in batches:
-        for t in b.column(0).to_pylist():
-            held.update(t.encode("utf-8", "surrogatepass").lower().split())
-            if len(held) > 1_000_000:
-                yield from out()
-                held.clear()
+        for _, texts in in_texts(b.column(0)):
+            for t in texts:
+                held.update(t.lower().split())
+                if len(held) > HELD_WORDS:
+                    yield from out()
+                    held.clear()
     yield from out()
+    held.clear()
+    release()
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -250,6 +258,7 @@ def model(found: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
             unfinished = tuple(x[last] for x in nodes)
             yield node_rows(*(x[~last] for x in nodes))
         yield node_rows(*unfinished)
+        release()
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -298,6 +307,7 @@ def model(found: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array(Subtrees(g, c).estimates(g, node, of_node, short.value))], names=["g", "c", "lp"])
             last = node >> 8 == k[-1] >> 25
             node, of_node = node[last], of_node[:, last]
+        release()
 
     return stored(rows.mapInArrow(down, "g bigint, c bigint, lp double"), "lm-model")
 
@@ -404,6 +414,7 @@ def scored(docs: DataFrame, head_grams: int = HEAD_GRAMS, head_words: int = HEAD
                 numbers = pa.list_(pa.int64())
                 rows += [pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(sums), pa.array(lost, numbers), pa.array(lost_n, numbers), pa.array(rare, pa.list_(pa.binary())), pa.array(rare_n, numbers)]
                 yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "held_out", "t", "n_tokens", "n_known", "base_score", "score", "lost", "lost_n", "rare", "rare_n"])
+            release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "held_out", F.md5(F.col("text")).alias("t"), "text").mapInArrow(

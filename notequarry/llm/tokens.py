@@ -10,7 +10,6 @@ special tokens' strings, or under a file of another kind go to the library as th
 
 from __future__ import annotations
 
-import ctypes
 import json
 import os
 from functools import lru_cache
@@ -20,6 +19,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from .common import release
+
 VOCABULARY = "byte_bpe_50k.json"
 #: Fixed value: the pattern by which byte-level BPE files of this kind split a text.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -34,14 +35,6 @@ CACHE = 500_000
 CALL_CHARS, CALL_WORDS = 1 << 18, 1 << 14
 #: Chunks whose ids are put in place at a time.
 CALL_ROWS = 1 << 18
-TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
-
-
-def release() -> None:
-    """Gives freed memory back, of Arrow and, where it is glibc, of the C library."""
-    pa.default_memory_pool().release_unused()
-    if TRIM:
-        TRIM(0)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
