@@ -181,6 +181,37 @@ def test_links_of_a_task_become_a_forest():
     assert groups(rows) == groups(zip(a.tolist(), b.tolist())) == dict(rows)
 
 
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch):
+    """Each round joins all nodes with all links: over 72 million links, of which tasks had brought few to one a node, rounds took most of the time."""
+    rng = np.random.default_rng(6)
+    sparse = rng.integers(0, 400, (2, 300)) * 1_000_000_007
+    dense = rng.integers(-60, 60, (2, 150))
+    for a, b in (sparse, dense):
+        links = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "source_id long, target_id long")
+        with monkeypatch.context() as patch:
+            patch.setattr(graph, "LINKS_AT_ONCE", 10)
+            by_rounds = sorted(map(tuple, graph.components(links).collect()))
+        with monkeypatch.context() as patch:
+            patch.setattr(graph, "symmetrised", lambda edges: 1 / 0)
+            found = sorted(map(tuple, graph.components(links).collect()))
+        apart = a != b
+        ids, least = graph.least_reached(a[apart] * 7_001, b[apart] * 7_001)
+        assert found == by_rounds == sorted(zip((ids // 7_001).tolist(), (least // 7_001).tolist()))
+    assert graph.components(links.limit(0)).count() == 0
+
+
+def test_links_stay_where_they_are_for_few_entities(spark):
+    n = nodes(spark, [(i, f"entity_{i}", "language") for i in range(1, 7)])
+    e = edges(spark, [(a, b, "co_occurs_with", w) for a, b, w in TWO])
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = community.entity_graph(n, e)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert plan.count("BroadcastHashJoin") == 2 and "hashpartitioning" not in plan
+
+
 def test_levels_are_found_once(spark):
     """What the communities are read from is stored: the search was in the plan several times, and ran as often."""
     n = nodes(spark, [(i, f"entity_{i}", "language") for i in range(1, 7)])
